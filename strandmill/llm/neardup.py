@@ -10,10 +10,11 @@ Groups of copies may be large, so no bucket is expanded into all pairs:
 1. Equal sets collapse: one representative goes on, the others follow it.
 2. Members of a bucket over ``SMALL`` rows are compared with the bucket's hub only, the member that stands in the
    largest buckets. Confirmed links are joined into components.
-3. Buckets of at most ``SMALL`` rows give pairs of members that are not in one component yet.
-4. Buckets over ``SMALL`` rows that still hold several components are split by further signature values, in
-   ``BRANCHES`` ways each, and go through 2 and 3 again, until none is left. What is still together after
-   ``LEVELS`` splits agrees in nearly all values; its pairs across components are all compared.
+3. Members of buckets over ``SMALL`` rows that still hold several components are joined with each other by prefix:
+   shingles in order of rarity, of which two sets at the threshold must share one near their beginnings. Length and
+   position bounds are exact, so no link among these members is lost, and what copies have in common comes late in
+   the order. Of each shingle's rows, those of its largest component are only met by the others.
+4. Buckets of at most ``SMALL`` rows give the remaining pairs of members that are not in one component yet.
 
 A pair at similarity 0.85 shares at least one of 28 bands of 6 with probability 1 - 2e-6, at 0.8 with 1 - 2e-4.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from strandmill.llm import common
 from strandmill.llm.wordhash import hash_words, mix, runs
 
-WIDTH, PERMS, ROWS, SMALL, BRANCHES, EXTRA, LEVELS, SEED = 5, 84, 6, 16, 3, 3, 12, 31
+WIDTH, PERMS, ROWS, SMALL, SEED = 5, 84, 6, 16, 31
 VALUES = 2 * PERMS
 BANDS = VALUES // ROWS
 BROADCAST_ROWS = 1 << 20
@@ -122,21 +123,6 @@ def band_keys(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sig").mapInArrow(run, "bucket long, doc_id long")
 
 
-def split_keys(rows: DataFrame) -> DataFrame:
-    """(bucket, doc_id): rows (bucket, doc_id, sig) under finer keys; the bucket decides which values are added."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                old, ids, sig = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), _signature_rows(b.column(2))
-                for branch in range(BRANCHES):
-                    key = mix(old + np.uint64(branch + 1))
-                    picks = np.stack([mix(key + np.uint64(i + 1)) % np.uint64(VALUES) for i in range(EXTRA)], axis=1).astype(np.int64)
-                    yield _keys_batch(_fold(np.take_along_axis(sig, picks, axis=1), key), ids)
-
-    return rows.select("bucket", "doc_id", "sig").mapInArrow(run, "bucket long, doc_id long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, label) for every id in (a, b): the smallest id it can reach."""
     both = common.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -171,47 +157,56 @@ def _one_set(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
 
 
-def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame | None:
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (doc_id, label) of different labels that prefix, length and position let through."""
+    own = common.stored(sets.join(members, "doc_id").select("doc_id", "label", F.size("found").alias("n"), F.explode("found").alias("token")), "tokens")
+    rarity = common.stored(own.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
+    # Shingles of one document only come first in the order; they meet nothing, so only their number counts.
+    ranked = own.join(rarity, "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    alone = F.col("n") - F.size("order")
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    ranked = ranked.select("doc_id", "label", "n", alone.alias("alone"), F.slice("order", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("order"))
+    rows = common.stored(ranked.select("doc_id", "label", "n", "alone", F.posexplode("order").alias("at", "o")).select("doc_id", "label", "n", F.col("o.token").alias("token"), (F.col("alone") + F.col("at")).alias("at")), "prefixes")
+    shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
+    most = shares.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label")).alias("most")).where("labels > 1")
+    rows = common.stored(rows.join(most.select("token", F.col("most.label").alias("main")), "token"), "mixed")
+    few = rows.where("label <> main").select("token", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    every = rows.select("token", "main", F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    bound = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    near = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny")))
+    return few.join(every, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
     """Confirmed links (a, b) that join all linked representatives (doc_id, n, sig); ``docs`` is (doc_id, text)."""
-    keys = band_keys(reps)
-    sets, found, labels = None, None, None
-    sizes = reps.select("doc_id", "n")
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal found
-        got = common.stored(_matches(common.stored(pairs, "pairs"), sets, percent), "confirmed")
-        found = got if found is None else found.unionByName(got)
-
-    for level in range(LEVELS + 1):
-        keys = common.stored(keys, "keys")
-        counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        shared = common.stored(keys.join(counts, "bucket"), "shared")
-        if sets is None:
-            ids = common.stored(shared.select("doc_id").distinct(), "candidates")
-            if ids.count() <= BROADCAST_ROWS:
-                ids = F.broadcast(ids)
-            sets = common.stored(_one_set(full_sets(docs.join(ids, "doc_id", "left_semi"), width), reps), "sets")
-        large = shared.where(F.col("rows") > SMALL)
-        more = not large.isEmpty()
-        if more:
-            central = large.groupBy("doc_id").agg(F.sum("rows").alias("weight"))
-            hub = F.max(F.struct("weight", -F.col("doc_id"))).alias("hub")
-            hubs = large.join(central, "doc_id").groupBy("bucket").agg(hub).select("bucket", (-F.col("hub.col2")).alias("b"))
-            stars = _labelled(large.join(hubs, "bucket").select("doc_id", "b").where("doc_id <> b").distinct(), labels)
-            stars = _labelled(stars.withColumnsRenamed({"doc_id": "a", "label": "la"}).withColumnRenamed("b", "doc_id"), labels)
-            confirm(stars.where("la <> label").select("a", F.col("doc_id").alias("b")))
-            labels = components(found)
-        rows = _labelled(shared.join(sizes, "doc_id"), labels)
-        spread = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        rows = common.stored(rows.join(spread, "bucket"), "open")
-        pairable = rows if level == LEVELS else rows.where(F.col("rows") <= SMALL)
-        left, right = pairable.select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), pairable.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        close = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        confirm(left.join(right, "bucket").where(close).select("a", "b").distinct())
-        if not more or level == LEVELS:
-            return found
-        keys = split_keys(rows.where(F.col("rows") > SMALL).select("bucket", "doc_id").join(reps.select("doc_id", "sig"), "doc_id"))
-    return found
+    keys = common.stored(band_keys(reps), "keys")
+    counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = common.stored(keys.join(counts, "bucket"), "shared")
+    ids = common.stored(shared.select("doc_id").distinct(), "candidates")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    sets = common.stored(_one_set(full_sets(docs.join(ids, "doc_id", "left_semi"), width), reps), "sets")
+
+    large = shared.where(F.col("rows") > SMALL)
+    central = large.groupBy("doc_id").agg(F.sum("rows").alias("weight"))
+    hub = F.max(F.struct("weight", -F.col("doc_id"))).alias("hub")
+    hubs = large.join(central, "doc_id").groupBy("bucket").agg(hub).select("bucket", (-F.col("hub.col2")).alias("b"))
+    stars = large.join(hubs, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    found = common.stored(_matches(stars, sets, percent), "stars")
+    labels = None if found.isEmpty() else components(found)
+
+    rows = common.stored(_labelled(shared, labels), "labelled")
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    rows = common.stored(rows.join(open_, "bucket"), "open")
+    members = common.stored(rows.where(F.col("rows") > SMALL).select("doc_id", "label").distinct(), "members")
+    inner = members.select("doc_id", F.lit(True).alias("inner"))
+    small = rows.where(F.col("rows") <= SMALL).join(inner, "doc_id", "left").join(reps.select("doc_id", "n"), "doc_id")
+    small = common.stored(small.select("bucket", "doc_id", "label", "n", F.coalesce("inner", F.lit(False)).alias("inner")), "small")
+    left, right = (small.select("bucket", F.col("doc_id").alias(k), F.col("label").alias("l" + k), F.col("n").alias("n" + k), F.col("inner").alias("i" + k)) for k in "ab")
+    close = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & ~(F.col("ia") & F.col("ib")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = left.join(right, "bucket").where(close).select("a", "b")
+    pairs = common.stored(pairs.unionByName(_by_prefix(members, sets, percent)).distinct(), "pairs")
+    return found.unionByName(common.stored(_matches(pairs, sets, percent), "confirmed"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80) -> DataFrame:
