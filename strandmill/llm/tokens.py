@@ -14,19 +14,28 @@ import regex
 from tokenizers import Tokenizer
 
 BYTE_BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
-CACHED_PARTS = 300_000
+CACHED_PARTS = 1_000_000  # about 200 MB
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as it is, others from 256."""
+    plain = {b for b in range(256) if chr(b).isprintable() and b != 32}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class _Parts(dict):
-    """Part of a text -> its ids as little-endian unsigned 32-bit integers."""
+    """Part of a text -> its ids as little-endian unsigned 32-bit integers.
+
+    The tokenizer's model merges the bytes of one part; control strings inside a text are ordinary text.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
+        self.model, self.letters = Tokenizer.from_file(path).model, _byte_letters()
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
         if len(self) >= CACHED_PARTS:
             self.clear()
         self[part] = packed = b"".join(i.to_bytes(4, "little") for i in ids)
