@@ -187,11 +187,6 @@ def locate(found: DataFrame, distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "segment binary, spans array<struct<at: long, length: long, first: long>>")
 
 
-def _fits(df: DataFrame, array: str | None = None) -> bool:
-    """Whether rows of 64 bytes each, and 16 for each element of the array, are under the limit."""
-    return (df.agg(F.sum(64 + (16 * F.size(array) if array else F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES
-
-
 def removals(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What rows (doc_id, h, text) lose: (doc_id, h, spans(at, length)), null spans meaning all; and the marks."""
     made = common.stored(marks(own), "marks")
@@ -205,7 +200,7 @@ def removals(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     wanted = each.join(common.stored(again, "anchors"), "anchor").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("i")).alias("wanted"))
     wanted = common.stored(wanted, "wanted")
-    cut = own.join(F.broadcast(wanted) if _fits(wanted, "wanted") else wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "wanted")
+    cut = own.join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "wanted")
     cut = common.stored(cut_segments(cut), "segments")
     distinct = common.stored(cut.groupBy("anchor", "segment", "phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
     located = common.stored(locate(common.stored(phrases(distinct), "phrases"), distinct), "located")
@@ -225,8 +220,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key, h, text = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(text_col).cast("string")
     lost, _ = removals(docs.select(key.alias("doc_id"), h.alias("h"), text.alias("text")))
     lost = lost.select(F.struct("doc_id", "h", "spans").alias("__lost"))
-    if _fits(lost.select("__lost.*"), "spans"):
-        lost = F.broadcast(lost)
     joined = docs.join(lost, (key == F.col("__lost.doc_id")) & (h == F.col("__lost.h")), "left")
     rest = [c for c in docs.columns if c != text_col]
     state = F.when(F.col("__lost").isNull(), F.lit(0)).when(F.col("__lost.spans").isNull(), F.lit(2)).otherwise(F.lit(1))
