@@ -38,3 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """Like ``stored``, in buckets by ``keys``: the rows are shuffled once, and later joins on those keys leave them where they are.
+
+    A bucketed table needs an entry in the session's catalog; its files are in the shared folder as the others are.
+    """
+    spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    entry = f"strandmill_{name}_{path.rpartition('-')[2]}"
+    df.repartition(n, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, *keys).saveAsTable(entry)
+    return spark.table(entry)

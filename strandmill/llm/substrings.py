@@ -217,13 +217,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Kept words are joined by one space where something was removed; other texts stay as they are.
     """
-    key, h, text = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(text_col).cast("string")
-    lost, _ = removals(docs.select(key.alias("doc_id"), h.alias("h"), text.alias("text")))
-    lost = lost.select(F.struct("doc_id", "h", "spans").alias("__lost"))
-    joined = docs.join(lost, (key == F.col("__lost.doc_id")) & (h == F.col("__lost.h")), "left")
-    rest = [c for c in docs.columns if c != text_col]
-    state = F.when(F.col("__lost").isNull(), F.lit(0)).when(F.col("__lost.spans").isNull(), F.lit(2)).otherwise(F.lit(1))
-    joined = joined.select(*(F.col(f"`{c}`") for c in rest), state.alias("__state"), F.col("__lost.spans").alias("__spans"), text.alias(text_col))
+    key, h, text = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.col(f"`{text_col}`").cast("string")
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    held = docs.select(key.alias("doc_id"), h.alias("h"), text.alias("text"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)))
+    held = common.dealt(held, "held", ("doc_id", "h"))
+    lost, _ = removals(held.select("doc_id", "h", "text"))
+    state = F.when(~F.col("hit"), F.lit(0)).when(F.col("spans").isNull(), F.lit(2)).otherwise(F.lit(1))
+    joined = held.join(lost.withColumn("hit", F.lit(True)), ["doc_id", "h"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    joined = joined.select(*(f"c{i}" for i in range(len(rest))), state.alias("state"), "spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,10 +241,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 kept.append(text)
                 n_words.append(n)
                 n_removed.append(n - len(words))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*rest, text_col, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*(f.name for f in rest), text_col, "n_words", "n_removed"])
 
-    plain = [f for f in docs.schema.fields if f.name not in (text_col,)]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
     return joined.mapInArrow(run, f"{fields}`{text_col}` string, n_words long, n_removed long")
 
 
