@@ -37,6 +37,7 @@ from strandmill.llm.wordhash import hash_words, runs
 
 WINDOW, GRAM = 50, 10
 SHARD_PHRASES, TASK_SEGMENTS, BROADCAST_BYTES = 3000, 40_000, 32 << 20
+NOBODY = np.iinfo(np.int64).max  # not the first of any passage: a first document has a smaller id than another
 
 
 def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +146,37 @@ def phrases(distinct: DataFrame) -> DataFrame:
     return alone.unionByName(split.groupBy("anchor", "phrase").agg(F.min("first").alias("first")))
 
 
+def lowest(n: int, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """The smallest first document over each of n words that spans (at, length, first) cover, as runs that don't overlap."""
+    low = np.full(n + 2, NOBODY)
+    for at, length, first in sorted(spans, key=lambda s: -s[2]):
+        low[at + 1 : at + 1 + length] = first
+    turns = np.flatnonzero(low[1:] != low[:-1])
+    return [{"at": int(a), "length": int(b - a), "first": int(low[a + 1])} for a, b in zip(turns, turns[1:]) if low[a + 1] != NOBODY]
+
+
+def merge_spans(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, h, spans(at, length)) with overlapping and adjoining spans made one."""
+    span = pa.struct([("at", pa.int64()), ("length", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for spans in b.column(2).to_pylist():
+                own = np.array(sorted((s["at"], s["at"] + s["length"]) for s in spans), np.int64).reshape(-1, 2)
+                reach = np.maximum.accumulate(own[:, 1])
+                new = np.flatnonzero(np.concatenate(([True], own[1:, 0] > reach[:-1])))
+                out.append([{"at": int(a), "length": int(e - a)} for a, e in zip(own[new, 0], reach[np.append(new[1:], len(own)) - 1])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(span))], names=["doc_id", "h", "spans"])
+
+    return rows.mapInArrow(run, "doc_id long, h long, spans array<struct<at: long, length: long>>")
+
+
 def locate(found: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(segment, spans(at, length, first)): where the phrases of its shard occur in each segment."""
+    """(segment, spans(at, length, first)): where the phrases of its shard occur in each segment.
+
+    Where occurrences overlap, a word has the smallest of their first documents: that one decides whether it goes.
+    """
     spark = found.sparkSession
     shards = max(1, math.ceil(found.count() / SHARD_PHRASES))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
@@ -180,7 +210,7 @@ def locate(found: DataFrame, distinct: DataFrame) -> DataFrame:
                 if hits:
                     gaps = np.cumsum(np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
                     ids.append(segment)
-                    out.append([{"at": int(gaps[start]) - 1, "length": n, "first": first} for start, n, first in hits])
+                    out.append(lowest(int(gaps[-1]) - 1, [(int(gaps[start]) - 1, n, first) for start, n, first in hits]))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.list_(span))], names=["segment", "spans"])
 
@@ -207,7 +237,8 @@ def removals(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = cut.select("doc_id", "h", "at", "segment").join(located, "segment")
     earlier = F.filter("spans", lambda s: s["first"] < F.col("doc_id"))
     moved = F.transform(earlier, lambda s: F.struct((F.col("at") + s["at"]).alias("at"), s["length"].alias("length")))
-    spans = met.select("doc_id", "h", F.explode(moved).alias("span")).groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
+    each = met.select("doc_id", "h", moved.alias("spans")).where(F.size("spans") > 0)
+    spans = merge_spans(each.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     copies = copies.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     return common.stored(spans.unionByName(copies), "removals"), made
 
