@@ -1,7 +1,8 @@
 """Chat formatting over reply trees.
 
 Messages are nodes of trees (tree, node, parent). Self-joins that double the reach of each step give every
-node's way to its root in log2(nodes of the largest tree) rounds; ways that end in a leaf are branches.
+node's way to its root in log2(nodes of the largest tree) rounds; nodes that reached it leave the rounds.
+Ways that end in a leaf are branches.
 Branches are ranked by the mean score of their messages, and each chosen branch is formatted as one
 conversation. The rounds carry node numbers only; texts are joined once, to the chosen branches.
 
@@ -54,15 +55,19 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     rooted = ids.join(known.distinct().withColumn("known", F.lit(True)), ["tree", "parent"], "left")
     ways = common.stored(rooted.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("next"), "score", F.array("node").alias("path")), "ways")
     most = ways.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    done, going = ways.where("next IS NULL"), ways.where("next IS NOT NULL")
     for _ in range(math.ceil(math.log2(most)) if most > 1 else 0):
-        upper = ways.select("tree", F.col("node").alias("next"), F.col("next").alias("next_up"), F.col("score").alias("score_up"), F.col("path").alias("path_up"))
-        joined = ways.join(upper, ["tree", "next"], "left")
+        if going.isEmpty():
+            break
+        upper = done.unionByName(going).select("tree", F.col("node").alias("next"), F.col("next").alias("next_up"), F.col("score").alias("score_up"), F.col("path").alias("path_up"))
+        joined = going.join(upper, ["tree", "next"], "left")
         ways = common.stored(
             joined.select("tree", "node", F.col("next_up").alias("next"), (F.col("score") + F.coalesce("score_up", F.lit(0.0))).alias("score"), F.concat(F.coalesce("path_up", F.array().cast("array<long>")), "path").alias("path")),
             "ways",
         )
+        done, going = done.unionByName(ways.where("next IS NULL")), ways.where("next IS NOT NULL")
     inner = ids.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = ways.where("next IS NULL").join(inner, ["tree", "node"], "left_anti")
+    leaves = done.join(inner, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("score", F.col("score") / F.size("path")).withColumnRenamed("node", "leaf")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= top).select("tree", "leaf", "rank", "score", "path")
