@@ -20,10 +20,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that score under the threshold go."""
     columns = docs.columns
     clash = {c: f"__kept_{i}" for i, c in enumerate(columns)}
-    own = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in clash.items()), F.col("doc_id"), F.col("text"))
-    stats = quality.with_statistics(docs.select("doc_id", "text"))
-    model = quality.learn(common.stored(stats, "stats"), common.table(spark, sf_dir, "labels"))
-    scored = quality.score(quality.with_statistics(own.drop("doc_id")), model)
+    own = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in clash.items()))
+    # The table holds texts and statistics, so texts are read by Python once and the fit reads ids and statistics only.
+    stats = common.stored(quality.with_statistics(own, clash["text"], keep_text=True), "stats")
+    model = quality.learn(stats.select(F.col(clash["doc_id"]).alias("doc_id"), "stats"), common.table(spark, sf_dir, "labels"))
+    scored = quality.score(stats, model)
     return scored.where(F.col("score") >= quality.THRESHOLD).select(*(F.col(k).alias(c) for c, k in clash.items()))
 
 

@@ -43,6 +43,7 @@ WIDTH, PERMS, ROWS, SMALL, SEED = 5, 84, 6, 16, 31
 VALUES = 2 * PERMS
 BANDS = VALUES // ROWS
 BROADCAST_ROWS = 1 << 20
+SLICE = 512  # texts that a task holds as Python values at once
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,8 +64,9 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    lowered = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts.to_pylist()]
-    return (shingles(h, width) for h in hash_words(lowered))
+    for at in range(0, len(texts), SLICE):
+        lowered = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts.slice(at, SLICE).to_pylist()]
+        yield from (shingles(h, width) for h in hash_words(lowered))
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -84,10 +86,10 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             got = list(_sets(b.column(1), width))
             ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
-            flat = np.concatenate(got).view(np.int64) if got else np.empty(0, np.int64)
+            flat = np.concatenate(got).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "found"])
 
     return docs.mapInArrow(run, "doc_id long, found array<long>")

@@ -104,7 +104,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             group.clear()
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), common.values(batch.column(1))):
                 ids = encode(text) + END_ID.to_bytes(4, "little")
                 n = len(ids) // 4
                 whole = n - n % capacity

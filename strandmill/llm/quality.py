@@ -61,16 +61,19 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with their statistics in place of the text; the text column is the last that is read."""
+def with_statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The rows with their statistics as the last column; in place of the text, or after it with ``keep_text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [statistics(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "stats"])
-
-    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(text_col).cast("string").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1])
+            found = [statistics(t) for t in common.values(b.column(b.num_columns - 1))]
+            rest = b.num_columns - (not keep_text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:rest], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:rest], "stats"])
+
+    name = text_col if keep_text else "__text"
+    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(f"`{text_col}`").cast("string").alias(name))
+    passed = own.schema.fields if keep_text else own.schema.fields[:-1]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
     return own.mapInArrow(run, fields + "stats array<double>")
 
 
