@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.functions.sequence import BASES
+
 HEX, AS_BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
 
@@ -13,27 +15,32 @@ def random_bases(seed: Column) -> Column:
     return F.translate(F.md5(seed.cast("string").cast("binary")), HEX, AS_BASES)
 
 
-def small_number(seed: Column, below: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(seed.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(below))
+def small_number(seed: Column, below: Column | int) -> Column:
+    """0 to below - 1 from the MD5 of a text; 0 where ``below`` is less than 1."""
+    most = F.greatest(below if isinstance(below, Column) else F.lit(below), F.lit(1))
+    return F.pmod(F.conv(F.substring(F.md5(seed.cast("binary")), 1, 8), 16, 10).cast("long"), most).cast("int")
 
 
 def planted(rows: DataFrame, key: Column, motif: str, d: int) -> DataFrame:
     """(sid, edited, pos, seq): a read for each key with an edited motif written over it; pos counts from 0.
 
-    ``d`` edits: p deletions and p insertions at seeded places, p = seed mod (d // 2 + 1), the rest substitutions.
+    ``d`` edits: 0 to d deletions, then 0 to d - deletions insertions, the rest substitutions by another base, each at
+    any place of the word so far. An edited motif longer than the read is not planted; its pos is 0.
     """
-    text = key.cast("string")
-    base = lambda name, i: F.substring(random_bases(F.concat(text, F.lit(f"{name}{i}"))), 1, 1)
-    edited: Column = F.lit(motif)
-    pairs = small_number(F.concat(text, F.lit("p")), d // 2 + 1)
+    text = F.col("sid").cast("string")
+    draw = lambda name, below: small_number(F.concat(text, F.lit(name)), below)
+    out = rows.select(key.alias("sid")).withColumn("edited", F.lit(motif)).withColumn("deletions", draw("deletions", d + 1))
+    out = out.withColumn("insertions", draw("insertions", d + 1 - F.col("deletions")))
+    edited, size = F.col("edited"), F.length("edited")
     for i in range(d):
-        at = small_number(F.concat(text, F.lit(f"at{i}")), len(motif) - 1).cast("int") + 1
-        head, tail = F.substring(edited, F.lit(1), at - 1), F.substring(edited, at + 1, F.length(edited))
-        removed = F.concat(head, tail)
-        changed = F.concat(head, base("s", i), tail)
-        added = F.concat(head, base("i", i), F.substring(edited, at, F.length(edited)))
-        edited = F.when(F.lit(i) < pairs, removed).when(F.lit(i) < 2 * pairs, added).otherwise(changed)
-    read = random_bases(key)
-    out = rows.select(key.alias("sid"), edited.alias("edited"), read.alias("read"))
-    out = out.withColumn("pos", small_number(F.concat(F.col("sid").cast("string"), F.lit("pos")), 32 - len(motif) - d))
-    return out.select("sid", "edited", "pos", F.overlay("read", "edited", F.col("pos").cast("int") + 1, F.length("edited")).alias("seq"))
+        inserts = (F.lit(i) >= F.col("deletions")) & (F.lit(i) < F.col("deletions") + F.col("insertions"))
+        out = out.withColumn("at", draw(f"at{i}", size + inserts.cast("int")) + 1)
+        at = F.col("at")
+        head, tail = F.substring(edited, F.lit(1), at - 1), F.substring(edited, at + 1, size)
+        added = F.concat(head, F.substring(F.lit(BASES), draw(f"i{i}", 4) + 1, F.lit(1)), F.substring(edited, at, size))
+        other = (F.instr(F.lit(BASES), F.substring(edited, at, F.lit(1))) + draw(f"s{i}", 3)) % 4 + 1
+        changed = F.when(size > 0, F.concat(head, F.substring(F.lit(BASES), other, F.lit(1)), tail)).otherwise(edited)
+        out = out.withColumn("edited", F.when(F.lit(i) < F.col("deletions"), F.concat(head, tail)).when(inserts, added).otherwise(changed))
+    out = out.withColumn("read", random_bases(F.col("sid"))).withColumn("pos", draw("pos", F.length("read") - size + 1).cast("long"))
+    seq = F.when(size > F.length("read"), F.col("read")).otherwise(F.overlay("read", "edited", F.col("pos").cast("int") + 1, size))
+    return out.select("sid", "edited", "pos", seq.alias("seq"))
