@@ -108,3 +108,13 @@ def test_every_query_has_matching_sql_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_merge_union_reads_every_row(spark, tmp_path):
+    from strandmill.plans import queries
+
+    keys = [0, 1, 2, 5, 8, 11]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    seqs = [r.seq for r in queries.key_reads(spark, str(tmp_path)).collect()]
+    expected = sorted({s[i : i + 6] for s in seqs for i in range(len(s) - 5)})
+    assert len(seqs) == len(keys) and [r.w for r in queries.merge_union(spark, str(tmp_path)).collect()] == expected
