@@ -87,7 +87,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """Pieces of packed documents: SCHEMA, ``ids`` as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added_tokens=True)
         sequence = TaskContext.get().partitionId() << 33
         group: list[tuple] = []
         held = 0

@@ -31,7 +31,7 @@ def counted(docs: DataFrame, text_col: str = "text", tokenizer: str = BYTE_BPE_5
     own = docs.select(F.col("doc_id"), F.col("source"), F.col("lang"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("utf8_bytes"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added_tokens=True)
         for b in batches:
             n = [len(encode(t)) // 4 for t in b.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "text_key", "utf8_bytes", "bpe_tokens"])

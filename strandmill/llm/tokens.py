@@ -3,11 +3,14 @@
 The tokenizer splits a text by a fixed pattern and merges bytes within each part only, so the ids of a
 text are the ids of its parts in order. Parts repeat far more often than texts; each task keeps the ids of
 the parts it has met, in a table that is emptied at a fixed size.
+
+The file's added tokens (``<|endoftext|>``) are cut out of a text before that and have ids of their own.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import public_tokenizers
 import regex
@@ -27,7 +30,7 @@ def _byte_letters() -> dict[int, str]:
 class _Parts(dict):
     """Part of a text -> its ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer's model merges the bytes of one part; control strings inside a text are ordinary text.
+    The tokenizer's model merges the bytes of one part; control strings inside a part are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -42,12 +45,29 @@ class _Parts(dict):
         return packed
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str = BYTE_BPE_50K):
-    """A function text -> ids as bytes (little-endian, 4 each); null counts as the empty text."""
+@functools.lru_cache(maxsize=4)
+def encoder(path: str = BYTE_BPE_50K, added_tokens: bool = False):
+    """A function text -> ids as bytes (little-endian, 4 each); null counts as the empty text.
+
+    With ``added_tokens`` the ids are those of ``encode(text, add_special_tokens=False)``; without, added tokens inside a
+    text are ordinary text, as with ``encode_special_tokens``.
+    """
     parts, split = _Parts(path), regex.compile(public_tokenizers.PATTERN).findall
 
     def encode(text: str | None) -> bytes:
         return b"".join(map(parts.__getitem__, split(text))) if text else b""
 
-    return encode
+    added = Tokenizer.from_file(path).get_added_tokens_decoder() if added_tokens else {}
+    if not added:
+        return encode
+    if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    own = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+    cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(own, key=len, reverse=True)) + ")")
+
+    def encode_all(text: str | None) -> bytes:
+        if not text or not cut.search(text):
+            return encode(text)
+        return b"".join(own[piece] if i % 2 else encode(piece) for i, piece in enumerate(cut.split(text)))
+
+    return encode_all
