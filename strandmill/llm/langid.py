@@ -35,7 +35,7 @@ def _letters() -> np.ndarray:
     """Code point -> its lower-case letter, or a break; built once in a process."""
     if not _TABLE:
         t = np.full(0x110000, _BREAK, np.int64)
-        for cp in range(0x30000):
+        for cp in range(len(t)):
             ch = chr(cp)
             if ch.isalpha():
                 low = ch.lower()
