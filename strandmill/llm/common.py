@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 1000, 4096, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +29,52 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
         yield from column.slice(at, step).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``step`` rows, for tasks that turn their columns into Python values."""
+    for b in batches:
+        for at in range(0, len(b), step):
+            yield b.slice(at, step)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so (Spark compares names without case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` by ``key``, of which one value may hold any share of left's rows.
+
+    ``sizes`` is a stored table (key, n) of left's rows by key. The rows of keys over ``HOT_ROWS`` are dealt into parts
+    by their own hash, and right's rows of those keys are repeated for each part. Only the ``HOT_KEYS`` largest keys are
+    split, so what is collected and broadcast is bounded, and any other key has less than 1 / ``HOT_KEYS`` of all rows.
+    """
+    n = F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(HOT_PARTS)).cast("int")
+    hot = sizes.where(F.col("n") > HOT_ROWS).select(F.col(key), n.alias("parts")).orderBy(F.desc("parts"), key).limit(HOT_KEYS)
+    found = hot.collect()
+    if not found:
+        return left.join(right, key, how)
+    parts, part = fresh(left.columns + right.columns, "parts"), fresh(left.columns + right.columns, "part")
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema).withColumnRenamed("parts", parts))
+    own = F.coalesce(F.pmod(F.xxhash64(*(f"`{c}`" for c in left.columns)), F.col(parts)), F.lit(0)).cast("int")
+    dealt_left = left.join(hot, key, "left").withColumn(part, own).drop(parts)
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+    dealt_right = right.join(hot, key, "left").withColumn(part, each).drop(parts)
+    return dealt_left.join(dealt_right, [key, part], how).drop(part)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, as in local
-    tests, a folder of this machine is set once for the session.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine
+    is set once for the session if Spark runs on this machine alone; on a cluster it is an error.
     """
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="strandmill-")
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -51,10 +90,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dealt(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
     """Like ``stored``, in buckets by ``keys``: the rows are shuffled once, and later joins on those keys leave them where they are.
 
-    A bucketed table needs an entry in the session's catalog; its files are in the shared folder as the others are.
+    A bucketed table is written through an entry in the session's catalog, which is dropped once the table is resolved;
+    its files are in the shared folder as the others are.
     """
     spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, name)
     entry = f"strandmill_{name}_{path.rpartition('-')[2]}"
     df.repartition(n, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, *keys).saveAsTable(entry)
-    return spark.table(entry)
+    found = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stored tables that no later step reads."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
