@@ -1,6 +1,7 @@
 """MinHash near-dedup with min-max hashing.
 
-A document's set is its distinct ``width``-word shingles (64-bit hashes); shorter texts are one shingle. Each of
+A document's set is its distinct ``width``-word shingles (64-bit hashes with independent keys for each place, see
+``wordhash``: two sets of a million shingles hold a false match with probability 2^-15); shorter texts are one shingle. Each of
 ``PERMS`` permutations of the hashes is evaluated once and gives two signature values, its minimum and its
 maximum. Bands of ``ROWS`` values are bucket keys; equal keys make candidates, and every candidate is confirmed on
 the full sets before it counts.
@@ -19,11 +20,13 @@ Groups of copies may be large, so no bucket is expanded into all pairs:
 A pair at similarity 0.85 shares at least one of 28 bands of 6 with probability 1 - 2e-6, at 0.8 with 1 - 2e-4.
 
 Components come from confirmed links by repeated joins (smallest label, then jumps along labels). All stages
-write their tables to the shared folder; nothing but counts reaches the driver.
+write their tables to the shared folder; nothing but counts and the keys of the largest groups reaches the driver.
+Buckets, copies, labels and shingles that hold many rows are split in every join on them.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing, not even each other; rows of one
 id are one document, its set the union of theirs where their texts differ; rows with null id are their own component (null) and kept; an empty
-table gives no rows; other columns pass through ``deduplicate`` untouched and are ignored elsewhere.
+table gives no rows; a text of any length is one row, of which a task holds ``SLICE`` at once; other columns pass
+through ``deduplicate`` untouched, whatever their names, and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -125,15 +128,22 @@ def band_keys(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sig").mapInArrow(run, "bucket long, doc_id long")
 
 
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that are worth splitting, for ``spread_join``."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common.HOT_ROWS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, label) for every id in (a, b): the smallest id it can reach."""
     both = common.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    degrees = common.stored(_sizes(both, "b"), "degrees")
     labels = common.stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "doc_id").select("doc_id", "label", F.least("label", "near").alias("new"))
+        near = common.spread_join(both, labels.withColumnRenamed("doc_id", "b"), "b", degrees).groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
+        new = common.stored(labels.join(near, "doc_id").select("doc_id", "label", F.least("label", "near").alias("new")), "lowered")
         jump = labels.select(F.col("doc_id").alias("new"), F.col("label").alias("far"))
-        new = common.stored(new.join(jump, "new").select("doc_id", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")), "labels")
+        new = common.spread_join(new, jump, "new", _sizes(new, "new")).select("doc_id", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved"))
+        new = common.stored(new, "labels")
         if new.where("moved").isEmpty():
             return new.select("doc_id", "label")
         labels = new.select("doc_id", "label")
@@ -164,26 +174,28 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = common.stored(sets.join(members, "doc_id").select("doc_id", "label", F.size("found").alias("n"), F.explode("found").alias("token")), "tokens")
     rarity = common.stored(own.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
     # Shingles of one document only come first in the order; they meet nothing, so only their number counts.
-    ranked = own.join(rarity, "token").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = common.spread_join(own, rarity, "token", rarity.withColumnRenamed("df", "n")).groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
     alone = F.col("n") - F.size("order")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
     ranked = ranked.select("doc_id", "label", "n", alone.alias("alone"), F.slice("order", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("order"))
     rows = common.stored(ranked.select("doc_id", "label", "n", "alone", F.posexplode("order").alias("at", "o")).select("doc_id", "label", "n", F.col("o.token").alias("token"), (F.col("alone") + F.col("at")).alias("at")), "prefixes")
     shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
-    most = shares.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label")).alias("most")).where("labels > 1")
-    rows = common.stored(rows.join(most.select("token", F.col("most.label").alias("main")), "token"), "mixed")
+    most = shares.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label")).alias("most"), F.sum("rows").alias("n")).where("labels > 1")
+    most = common.stored(most, "most")
+    rows = common.stored(common.spread_join(rows, most.select("token", F.col("most.label").alias("main")), "token", most), "mixed")
     few = rows.where("label <> main").select("token", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
     every = rows.select("token", "main", F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("at").alias("iy"))
     bound = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     near = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny")))
-    return few.join(every, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return common.spread_join(every, few, "token", most).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
     """Confirmed links (a, b) that join all linked representatives (doc_id, n, sig); ``docs`` is (doc_id, text)."""
     keys = common.stored(band_keys(reps), "keys")
-    counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = common.stored(keys.join(counts, "bucket"), "shared")
+    counts = common.stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    sizes = counts.withColumnRenamed("rows", "n")
+    shared = common.stored(common.spread_join(keys, counts, "bucket", sizes), "shared")
     ids = common.stored(shared.select("doc_id").distinct(), "candidates")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -193,13 +205,13 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 8
     central = large.groupBy("doc_id").agg(F.sum("rows").alias("weight"))
     hub = F.max(F.struct("weight", -F.col("doc_id"))).alias("hub")
     hubs = large.join(central, "doc_id").groupBy("bucket").agg(hub).select("bucket", (-F.col("hub.col2")).alias("b"))
-    stars = large.join(hubs, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    stars = common.spread_join(large, hubs, "bucket", sizes).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     found = common.stored(_matches(stars, sets, percent), "stars")
     labels = None if found.isEmpty() else components(found)
 
     rows = common.stored(_labelled(shared, labels), "labelled")
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rows = common.stored(rows.join(open_, "bucket"), "open")
+    rows = common.stored(common.spread_join(rows, open_, "bucket", sizes), "open")
     members = common.stored(rows.where(F.col("rows") > SMALL).select("doc_id", "label").distinct(), "members")
     inner = members.select("doc_id", F.lit(True).alias("inner"))
     small = rows.where(F.col("rows") <= SMALL).join(inner, "doc_id", "left").join(reps.select("doc_id", "n"), "doc_id")
@@ -216,27 +228,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = common.stored(signatures(own, width), "signatures")
     named = sigs.where("doc_id IS NOT NULL")
-    groups = common.stored(named.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("print", "rep"), "groups")
-    members = sigs.join(groups, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    members = common.stored(members.select("doc_id", "n", "rep"), "members")
-    reps = named.where("n > 0").join(groups, "print", "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "n", "sig")
-    reps = common.stored(reps.dropDuplicates(["doc_id", "n", "sig"]), "representatives")
+    groups = common.stored(named.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "groups")
+    copies = groups.select("print", F.col("rows").alias("n"))
+    members = common.spread_join(sigs.select("doc_id", F.col("n").alias("n_own"), "print"), groups.select("print", "rep"), "print", copies, "left")
+    members = common.stored(members.select("doc_id", F.col("n_own").alias("n"), F.coalesce("rep", "doc_id").alias("rep")), "members")
+    reps = common.spread_join(named.where("n > 0").withColumnRenamed("n", "n_own"), groups.select("print", "rep"), "print", copies, "left").where("rep IS NULL OR rep = doc_id")
+    reps = common.stored(reps.select("doc_id", F.col("n_own").alias("n"), "sig").dropDuplicates(["doc_id", "n", "sig"]), "representatives")
     # One id with several texts: its sets are one document, so its representatives are linked too.
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = same.join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
     found = links(reps, own.where("doc_id IS NOT NULL"), width, percent)
     labels = components(found.unionByName(same))
-    out = members.join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left")
+    followers = common.stored(groups.groupBy("rep").agg(F.sum("rows").alias("n")), "followers")
+    out = common.spread_join(members.withColumnRenamed("n", "n_own"), labels.select(F.col("doc_id").alias("rep"), "label"), "rep", followers, "left").withColumnRenamed("n_own", "n")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one of smallest id; columns stay."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    gone = common.stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    found, name = near_duplicates(docs, id_col, text_col, width, percent), common.fresh(docs.columns, "gone")
+    gone = common.stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
