@@ -47,7 +47,7 @@ def fresh(taken: list[str], name: str) -> str:
 def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` by ``key``, of which one value may hold any share of left's rows.
 
-    ``sizes`` is a stored table (key, n) of left's rows by key. The rows of keys over ``HOT_ROWS`` are dealt into parts
+    ``sizes`` (key, n) counts left's rows by key; keys it leaves out are not split. The rows of keys over ``HOT_ROWS`` are dealt into parts
     by their own hash, and right's rows of those keys are repeated for each part. Only the ``HOT_KEYS`` largest keys are
     split, so what is collected and broadcast is bounded, and any other key has less than 1 / ``HOT_KEYS`` of all rows.
     """
@@ -80,10 +80,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``by`` there is a folder for each value of these columns, which must come last.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,15 +2,24 @@
 
 A payload is stored as 8-bit mono WAV: a 44-byte header and one sample for each byte. The media bytes are cut
 where a rolling gear hash over the last 32 bytes has ``mask`` bits clear (between ``least`` and ``most`` bytes),
-so equal stretches give equal chunks wherever they stand. A medium is the ordered list of its chunks' SHA-256
-digests; a chunk is kept once, compressed, under its digest. Media are rebuilt by joining the lists with the
-chunk store, ordering by position, and comparing the digest of what comes out.
+so equal stretches give equal chunks wherever they stand. A medium is the ordered list of its chunks' digests (first
+128 bits of SHA-256); the store keeps each distinct chunk once, compressed.
 
-Equal media have equal lists and are rebuilt once; rows find their medium by its digest. So a group of copies
-moves no bytes beyond the first copy's, and only small rows of it are shuffled.
+1. Lists. Each row's list is written. Equal media collapse; digests that occur more than once are found by a Spark
+   aggregate and joined back, and the smallest place of each is its owner.
+2. Store. Rows are cut again, now with their bytes, and shuffled once, by medium, where copies collapse. What is
+   written has three parts: media whose chunks are all their own, the own chunks of the other media, and the
+   chunks that several places share, each at its owner only.
+3. Rebuilding reads the store. Media of the first part are complete where they stand; the others are joined with the
+   shared chunks and ordered by place. The digest of every medium is compared with what comes out.
+
+Cutting twice costs a tenth of the processor time; keeping the bytes between the steps would cost 0.7 of the input on
+disk. Equal media are rebuilt once; rows find their medium by its digest, and large groups of copies and chunks that
+many media share are split in joins.
 
 Defined cases: null payload is empty; the padding makes every payload a positive multiple of ``unit`` bytes;
-repeated rows give repeated rows; an empty table gives no rows; other columns are ignored, whatever their names.
+repeated rows give repeated rows; an empty table gives no rows; a text of any length is one medium, of which a task
+holds ``SLICE`` at once; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ import hashlib
 import random
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +38,8 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import common
 
-UNIT, PAD, RATE = 576, 255, 8000
+UNIT, PAD, RATE, SLICE = 576, 255, 8000, 64
+WHOLE, OWN, SHARED = 0, 1, 2  # parts of the store
 LEAST, MOST, MASK = 2048, 32768, 0xFFF00000
 _GEAR = np.array(random.Random(32).choices(range(1 << 32), k=256), np.uint32)
 
@@ -73,84 +84,124 @@ def cuts(media: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) -
     return ends
 
 
+def _cut(text: str | None) -> tuple[bytes, int, list[bytes]]:
+    """Media bytes, size of the payload before padding, chunks."""
+    payload, size = padded(text)
+    media = to_wav(payload)
+    ends = cuts(media)
+    return media, size, [media[s:e] for s, e in zip([0, *ends], ends)]
+
+
+def _digest(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:16]
+
+
 def chunks(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, n_bytes, media_sha256, digests): each row's medium as an ordered list of chunk digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, SLICE):
             n, whole, lists = [], [], []
             for text in b.column(1).to_pylist():
-                payload, size = padded(text)
-                media = to_wav(payload)
-                ends = cuts(media)
+                media, size, parts = _cut(text)
                 n.append(size)
                 whole.append(hashlib.sha256(media).digest())
-                lists.append([hashlib.sha256(media[s:e]).digest() for s, e in zip([0, *ends], ends)])
+                lists.append([_digest(c) for c in parts])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["key", "n_bytes", "media_sha256", "digests"])
 
     return rows.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, n_bytes long, media_sha256 binary, digests array<binary>")
 
 
-def chunk_store(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, packed): the bytes of each distinct chunk, compressed."""
+def packed(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(media_sha256, pieces(at, digest, packed)): each distinct medium's chunks with their bytes, compressed."""
+    piece = pa.struct([("at", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: dict[bytes, bytes] = {}
+        for b in common.slices(batches, SLICE):
+            found: dict[bytes, list] = {}
             for text in b.column(0).to_pylist():
-                media = to_wav(padded(text)[0])
-                ends = cuts(media)
-                for s, e in zip([0, *ends], ends):
-                    digest = hashlib.sha256(media[s:e]).digest()
-                    if digest not in found:
-                        found[digest] = bz2.compress(media[s:e], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["digest", "packed"])
-
-    pieces = rows.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "digest binary, packed binary")
-    return pieces.groupBy("digest").agg(F.first("packed").alias("packed"))
-
-
-def rebuilt(media: DataFrame, store: DataFrame) -> DataFrame:
-    """(media_sha256, media) for distinct media (media_sha256, digests); a wrong digest fails the job."""
-    lists = media.select("media_sha256", F.posexplode("digests").alias("at", "digest"))
-    parts = lists.join(store, "digest").groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "packed"))).alias("parts"))
+                media, _, parts = _cut(text)
+                key = hashlib.sha256(media).digest()
+                if key not in found:
+                    found[key] = [{"at": i, "digest": _digest(c), "packed": bz2.compress(c, 1)} for i, c in enumerate(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.list_(piece))], names=["media_sha256", "pieces"])
+
+    made = rows.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "media_sha256 binary, pieces array<struct<at: int, digest: binary, packed: binary>>")
+    return made.groupBy("media_sha256").agg(F.first("pieces").alias("pieces"))
+
+
+@dataclass
+class Store:
+    media: DataFrame  # (media_sha256, digests, n): distinct media, n rows each
+    sharing: DataFrame  # (digest, n): chunks that occur at n > 1 places
+    shared: DataFrame  # (media_sha256, at, digest): the places of those chunks
+    packs: DataFrame  # (media_sha256, pieces, part): the bytes
+
+
+def store_chunks(rows: DataFrame, lists: DataFrame, text_col: str = "text") -> Store:
+    """Write each distinct chunk of ``rows`` once; ``lists`` is the stored table of ``chunks(rows)``."""
+    media = common.stored(lists.groupBy("media_sha256").agg(F.min("digests").alias("digests"), F.count(F.lit(1)).alias("n")), "media")
+    places = media.select("media_sha256", F.posexplode("digests").alias("at", "digest"))
+    owner = F.min(F.struct("media_sha256", "at")).alias("owner")
+    sharing = common.stored(places.groupBy("digest").agg(owner, F.count(F.lit(1)).alias("n")).where("n > 1"), "sharing")
+    shared = common.spread_join(places, sharing.select("digest", "owner"), "digest", sharing)
+    shared = common.stored(shared.select("media_sha256", "at", "digest", (F.struct("media_sha256", "at") == F.col("owner")).alias("owns")), "shared")
+    # For each medium with shared chunks, what becomes of each of its places.
+    marked = places.join(shared.select("media_sha256").distinct(), "media_sha256", "left_semi").join(shared.drop("digest"), ["media_sha256", "at"], "left")
+    state = F.when(F.col("owns").isNull(), F.lit(OWN)).when(F.col("owns"), F.lit(SHARED)).otherwise(F.lit(-1))
+    states = marked.groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("at", state.alias("state")))).alias("states"))
+    joined = packed(rows, text_col).join(common.stored(states, "states"), "media_sha256", "left")
+    kept = lambda part: F.struct(F.filter("pieces", lambda p: F.get("states", p["at"])["state"] == part).alias("pieces"), F.lit(part).alias("part"))
+    whole = F.array(F.struct("pieces", F.lit(WHOLE).alias("part")))
+    split = joined.select("media_sha256", F.explode(F.when(F.col("states").isNull(), whole).otherwise(F.array(kept(OWN), kept(SHARED)))).alias("p"))
+    packs = split.select("media_sha256", "p.pieces", "p.part").where(F.size("pieces") > 0)
+    return Store(media, sharing, shared.drop("owns"), common.stored(packs, "chunk_store", by=("part",)))
+
+
+def rebuilt(store: Store) -> DataFrame:
+    """(media_sha256, media) of each distinct medium, from the stored bytes; a wrong digest fails the job."""
+    whole = store.packs.where(F.col("part") == WHOLE).select("media_sha256", "pieces")
+    bytes_ = store.packs.where(F.col("part") == SHARED).select(F.explode("pieces").alias("p")).select("p.digest", "p.packed")
+    fetched = common.spread_join(store.shared, bytes_, "digest", store.sharing).select("media_sha256", F.struct("at", "digest", "packed").alias("p"))
+    own = store.packs.where(F.col("part") == OWN).select("media_sha256", F.explode("pieces").alias("p"))
+    mixed = own.unionByName(fetched).groupBy("media_sha256").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, SLICE):
             keys, out = b.column(0).to_pylist(), []
-            for key, parts in zip(keys, b.column(1)):
-                whole = b"".join(bz2.decompress(p["packed"].as_py()) for p in parts.values)
+            for key, pieces in zip(keys, b.column(1)):
+                whole = b"".join(bz2.decompress(p["packed"].as_py()) for p in pieces.values)
                 if hashlib.sha256(whole).digest() != key:
                     raise ValueError(f"medium {key.hex()} does not match its digest")
                 out.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["media_sha256", "media"])
 
-    return parts.mapInArrow(run, "media_sha256 binary, media binary")
+    return whole.unionByName(mixed).mapInArrow(run, "media_sha256 binary, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
     """Payload digests and a short description of the samples, from the media bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, SLICE):
             rows = []
             for whole in b.column(1).to_pylist():
                 payload = from_wav(whole)
                 wave = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
                 crossings = int(np.count_nonzero(np.diff(wave >= 0)))
                 said = f"samples={len(wave)};mean={wave.mean():.4f};rms={np.sqrt((wave * wave).mean()):.4f};peak={int(np.abs(wave).max())};crossings={crossings}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), payload[-32:], len(whole), said))
+                rows.append((len(payload), hashlib.sha256(payload).digest(), payload[-32:], len(whole), said))
             cols = list(zip(*rows)) if rows else [()] * 5
-            types = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string())
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["media_sha256", "payload_bytes", "payload_sha256", "tail", "media_bytes", "feature"])
 
-    return media.mapInArrow(run, "media_sha256 binary, payload_bytes long, payload_sha256 string, tail binary, media_bytes long, feature string")
+    return media.mapInArrow(run, "media_sha256 binary, payload_bytes long, payload_sha256 binary, tail binary, media_bytes long, feature string")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    lists = common.stored(chunks(docs), "media")
-    distinct = lists.groupBy("media_sha256").agg(F.min("digests").alias("digests"))
-    found = common.stored(features(rebuilt(distinct, chunk_store(docs))), "features")
-    joined = lists.select("key", "n_bytes", "media_sha256").join(found, "media_sha256")
-    return joined.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
+    lists = common.stored(chunks(docs), "lists")
+    store = store_chunks(docs, lists)
+    found = common.stored(features(rebuilt(store)), "features")
+    joined = common.spread_join(lists.select("key", "n_bytes", "media_sha256"), found, "media_sha256", store.media)
+    return joined.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha256")).alias("payload_sha256"), F.crc32("tail").alias("tail_crc32"), "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")

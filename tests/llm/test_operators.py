@@ -209,15 +209,17 @@ def test_language_id(spark, empty, odd):
 
 
 def test_media(docs, empty):
-    lists = media.chunks(docs)
-    back = media.rebuilt(lists.groupBy("media_sha256").agg(F.min("digests").alias("digests")), media.chunk_store(docs))
-    found = {r.media_sha256: r.media for r in back.collect()}
+    lists = media.chunks(docs).cache()
+    store = media.store_chunks(docs, lists)
+    kept = [bytes(p.digest) for r in store.packs.collect() for p in r.pieces]
+    assert len(kept) == len(set(kept)) and set(kept) == {bytes(d) for r in lists.collect() for d in r.digests}
+    found = {r.media_sha256: r.media for r in media.rebuilt(store).collect()}
     keys = {r.key: bytes(r.media_sha256) for r in lists.collect()}
     for i, text, *_ in corpus():
         payload = media.from_wav(bytes(found[keys[i]]))
         raw = (text or "").encode()
         assert payload == raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-    assert media.chunks(empty).count() == 0 and media.chunk_store(empty).count() == 0
+    assert media.chunks(empty).count() == 0 and media.rebuilt(media.store_chunks(empty, media.chunks(empty))).count() == 0
     long = random.Random(1).randbytes(200_000)
     ends = media.cuts(long)
     assert ends[-1] == len(long) and all(e - s <= media.MOST for s, e in zip([0, *ends], ends))
