@@ -58,7 +58,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, h
         return left.join(right, key, how)
     parts, part = fresh(left.columns + right.columns, "parts"), fresh(left.columns + right.columns, "part")
     hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema).withColumnRenamed("parts", parts))
-    own = F.coalesce(F.pmod(F.xxhash64(*(f"`{c}`" for c in left.columns)), F.col(parts)), F.lit(0)).cast("int")
+    hashed = (f"`{c}`" for c, t in left.dtypes if "map<" not in t and "variant" not in t)
+    own = F.coalesce(F.pmod(F.xxhash64(*hashed), F.col(parts)), F.lit(0)).cast("int")
     dealt_left = left.join(hot, key, "left").withColumn(part, own).drop(parts)
     each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
     dealt_right = right.join(hot, key, "left").withColumn(part, each).drop(parts)

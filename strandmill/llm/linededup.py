@@ -4,14 +4,18 @@ Pages are grouped by host. A line (trimmed) counts once for each page that conta
 by the host's pages is its share. Lines whose share is over ``ratio`` are boilerplate of that host and are
 taken out of its pages; the other lines stay as they are.
 
+A line must be on two pages at least: on a host of under 1 / ``ratio`` pages one page alone is over the ratio, and a
+line that is not repeated is no boilerplate.
+
 Only keys of lines are shuffled, in counts that are added up before the shuffle; texts stay where they were
 read. A host has at most (its lines per page / ratio) boilerplate lines, so their keys fit in one array per
-host; the arrays are broadcast while their total is under ``broadcast_bytes`` and joined by host otherwise.
+host; the arrays are broadcast while their total is under ``broadcast_bytes`` and joined by host otherwise, with the
+pages of large hosts dealt over several tasks.
 
 Defined cases: null hosts form one host of their own; a null text stays null and an empty one empty, both
-count as pages; blank lines are never taken out; a line must be on at least ``min_pages`` pages, so a host
-of one page keeps it all; repeated rows are pages each; an empty table gives no rows; other columns pass
-through untouched, whatever their names.
+count as pages; blank lines are never taken out; a host of one page keeps it all; repeated rows are pages each; an
+empty table gives no rows; a text of any length is one page and stays where it was read; other columns pass through
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import common
 
-RATIO, MIN_PAGES, BROADCAST_BYTES = 0.1, 3, 32 << 20
+RATIO, MIN_PAGES, BROADCAST_BYTES = 0.1, 2, 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -49,11 +53,15 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", rat
     """``pages`` with the boilerplate lines taken out of ``text_col``; rows, columns and their order stay."""
     found = common.stored(boilerplate(pages, host, F.col(text_col), ratio, min_pages), "boilerplate")
     size = found.agg(F.sum(F.size("keys") * 40 + 60)).first()[0] or 0
-    found = found.select(F.struct("host", "keys").alias("__boilerplate"))
+    site, held = (common.fresh(pages.columns, c) for c in ("site", "boilerplate"))
+    key = lambda h: F.coalesce(F.concat(F.lit("="), h.cast("string")), F.lit("")).alias(site)
+    found = found.select(key(F.col("host")), F.col("keys").alias(held))
+    sited = pages.withColumn(site, key(host))
     if size <= broadcast_bytes:
-        found = F.broadcast(found)
-    joined = pages.join(found, host.eqNullSafe(F.col("__boilerplate.host")), "left")
-    keys = F.col("__boilerplate.keys")
+        joined = sited.join(F.broadcast(found), site, "left")
+    else:
+        joined = common.spread_join(sited, found, site, sited.groupBy(site).agg(F.count(F.lit(1)).alias("n")), "left")
+    keys = F.col(held)
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line: ~F.array_contains(keys, _key(line))), "\n")
     return joined.withColumn(text_col, F.when(keys.isNull(), F.col(text_col)).otherwise(kept)).select(*(F.col(f"`{c}`") for c in pages.columns))
 
