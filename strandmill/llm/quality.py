@@ -3,21 +3,23 @@
 Each whole text becomes a few statistics (lengths, shares of character classes, repetition, shape of words and
 lines). Standardised, they are mapped to ``width`` random cosines whose inner products approximate a Gaussian
 kernel. Ridge regression on these needs only the sums Z'Z and Z'y: tasks add them up over their rows, a second
-round adds up the tasks' sums in ``SUMS`` parts, and the driver solves one system of fixed size. Raw scores are
+round adds up the tasks' sums in as many parts as the root of the shuffle partitions, and the driver solves one system of fixed size. Raw scores are
 turned into probabilities by isotonic regression over ``bins`` counted bins, fitted on labelled rows that the
-ridge has not seen.
+ridge has not seen; a higher raw score never gets a lower probability.
 
 All labelled rows are used; nothing is sampled. Statistics are computed once for every row, in place; only the
 statistics are joined to the labels.
 
 Defined cases: null and empty texts have statistics of zeros and are scored as such; several labels of one id
 each count as a row; null labels are left out; without any label (or with one class only) every score is the
-share of label 1, or 0.5; repeated rows are scored each; an empty table gives no rows; other columns are ignored,
-whatever their names.
+share of label 1, or 0.5; rows with null id are scored, never learned from and not held out; repeated rows are
+scored each; an empty table gives no rows; a text of any length is read whole, and a task holds 256 texts at once;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import common
 
-WIDTH, GAMMA, RIDGE, BINS, SUMS, THRESHOLD, SEED = 256, 0.01, 0.1, 512, 4, 0.3, 20240229
+WIDTH, GAMMA, RIDGE, BINS, THRESHOLD, SEED = 256, 0.01, 0.1, 512, 0.3, 20240229
 N_STATS = 24
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 
@@ -62,19 +64,23 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """The rows with their statistics as the last column; in place of the text, or after it with ``keep_text``."""
+    """The rows with their statistics as the last column; in place of the text, or after it with ``keep_text``.
+
+    The column is called ``stats``, or ``stats_`` (and so on) where that name is taken.
+    """
+    made = common.fresh(docs.columns, "stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [statistics(t) for t in common.values(b.column(b.num_columns - 1))]
             rest = b.num_columns - (not keep_text)
-            yield pa.RecordBatch.from_arrays([*b.columns[:rest], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:rest], "stats"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:rest], pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:rest], made])
 
-    name = text_col if keep_text else "__text"
+    name = text_col if keep_text else common.fresh(docs.columns, "text")
     own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(f"`{text_col}`").cast("string").alias(name))
     passed = own.schema.fields if keep_text else own.schema.fields[:-1]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
-    return own.mapInArrow(run, fields + "stats array<double>")
+    return own.mapInArrow(run, fields + f"`{made}` array<double>")
 
 
 @dataclass
@@ -125,7 +131,8 @@ def _normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> n
                 total += np.frombuffer(x).reshape(shape)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = rows.select("stats", "y").mapInArrow(add_rows, "sums binary").repartition(SUMS).mapInArrow(add_sums, "sums binary").collect()
+    sums = max(4, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = rows.select("stats", "y").mapInArrow(add_rows, "sums binary").repartition(sums).mapInArrow(add_sums, "sums binary").collect()
     return sum((np.frombuffer(r["sums"]).reshape(shape) for r in parts), np.zeros(shape))
 
 
@@ -137,7 +144,7 @@ def isotonic(scores: np.ndarray, ones: np.ndarray, counts: np.ndarray) -> tuple[
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 def fit(labelled: DataFrame, calibrate: Column) -> Model:
@@ -170,15 +177,16 @@ def fit(labelled: DataFrame, calibrate: Column) -> Model:
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows with ``stats`` as their last column; gives the other columns and ``score``."""
+    """Rows with statistics as their last column; gives the other columns and ``score`` (``score_`` where taken)."""
+    made = common.fresh(rows.columns, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = model.score(_matrix(b.column(b.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], made])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + "score double")
+    return rows.mapInArrow(run, fields + f"`{made}` double")
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> Model:
@@ -193,4 +201,4 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = common.stored(with_statistics(docs), "stats")
     model = learn(stats, common.table(spark, sf_dir, "labels"))
     scored = score(stats, model)
-    return scored.select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(common.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
