@@ -8,12 +8,13 @@ document's ends, or whose first or last word differs, fall away; the rest is com
 
 Texts stay where they are read: words are exploded, probed against the broadcast windows and compared in one
 stage, and only places of occurrences are shuffled. The windows are broadcast while they are under
-``broadcast_bytes``; larger benchmarks are joined by shuffling candidate words, and the places that fit are
-then compared with the document's words.
+``broadcast_bytes``; larger benchmarks are joined by shuffling the words that begin some prefix, frequent ones dealt
+over several tasks, and the places that fit are then compared with the document's words.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no window; equal windows
 of several items count for each item; repeated rows give repeated rows; rows of one id with different texts are
-judged each by its own text; empty tables give no hits or no rows; other columns are ignored, whatever their names.
+judged each by its own text; empty tables give no hits or no rows; a text of any length is one row, read whole; other
+columns are ignored, and pass through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     return cut.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def with_prefix(found: DataFrame, docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(window, items, token, lead): each window's rarest token over all documents and its place in the window.
+def with_prefix(found: DataFrame, docs: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(window, items, token, lead), each window's rarest token over all documents and its place; and (token, n).
 
     Windows with a token that no document has are left out: they cannot occur.
     """
@@ -52,7 +53,7 @@ def with_prefix(found: DataFrame, docs: DataFrame, text_col: str = "text", broad
     counts = common.stored(spoken.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token_counts")
     tokens = found.select("window", "items", F.posexplode("window").alias("lead", "token")).join(counts, "token", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "lead", "token")).alias("rarest")
-    return tokens.groupBy("window", "items").agg(rarest).where("rarest.n > 0").select("window", "items", "rarest.token", "rarest.lead")
+    return tokens.groupBy("window", "items").agg(rarest).where("rarest.n > 0").select("window", "items", "rarest.token", "rarest.lead"), counts
 
 
 def _fits(df: DataFrame, limit: int) -> bool:
@@ -66,33 +67,34 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     ``spans`` are (start, length) of the words of every occurrence, ``items`` the ids that occur.
     """
-    probes = common.stored(with_prefix(common.stored(windows(items, "item_id", "text", width), "windows"), docs, text_col, broadcast_bytes), "probes")
+    probes, counts = with_prefix(common.stored(windows(items, "item_id", "text", width), "windows"), docs, text_col, broadcast_bytes)
+    probes = common.stored(probes, "probes")
     small = _fits(probes, broadcast_bytes)
     text = F.col(text_col)
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), words(text).alias("words"))
     keys = ["doc", "h1", "h2", "n_words"]
     own = own.withColumn("n_words", F.size("words"))
-    # The empty token after the last word meets the empty probe: every row gets through, with or without hits.
-    spoken = own.select(*keys, "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "token"))
     nothing = docs.sparkSession.range(1).select(F.lit(None).cast(probes.schema["window"].dataType).alias("window"), F.lit(None).cast(probes.schema["items"].dataType).alias("items"), F.lit("").alias("token"), F.lit(0).alias("lead"))
-    probes = probes.unionByName(nothing)
     start = F.col("at") - F.col("lead")
     fits = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
     ends = (F.get("words", start) == F.get("window", F.lit(0))) & (F.get("words", start + F.size("window") - 1) == F.get("window", F.size("window") - 1))
     same = F.slice("words", start + 1, F.size("window")) == F.col("window")
     span = F.when(F.col("window").isNotNull(), F.struct(start.alias("start"), F.size("window").alias("length")))
     if small:
-        met = spoken.join(F.broadcast(probes), "token").where(F.col("window").isNull() | (fits & ends & same))
+        # The empty token after the last word meets the empty probe: every row gets through, with or without hits.
+        spoken = own.select(*keys, "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "token"))
+        met = spoken.join(F.broadcast(probes.unionByName(nothing)), "token").where(F.col("window").isNull() | (fits & ends & same))
         met = met.select(*keys, span.alias("span"), "items")
     else:
-        places = spoken.drop("words").join(probes, "token").where(F.col("window").isNull() | fits)
-        places = places.select(*keys, start.alias("start"), "window", "items")
+        spoken = own.select(*keys, F.posexplode("words").alias("at", "token"))
+        places = common.spread_join(spoken, probes, "token", counts).where(fits).select(*keys, start.alias("start"), "window", "items")
         again = own.select("doc", "h1", "h2", "words").dropDuplicates(["doc", "h1", "h2"])
         joined = places.alias("p").join(again.alias("d"), F.col("p.doc").eqNullSafe(F.col("d.doc")) & (F.col("p.h1") == F.col("d.h1")) & (F.col("p.h2") == F.col("d.h2")))
         size = F.size("p.window")
-        met = joined.where(F.col("p.window").isNull() | (F.slice("d.words", F.col("p.start") + 1, size) == F.col("p.window")))
-        span = F.when(F.col("p.window").isNotNull(), F.struct(F.col("p.start").alias("start"), size.alias("length")))
-        met = met.select(*(F.col(f"p.{k}") for k in keys), span.alias("span"), F.col("p.items").alias("items"))
+        met = joined.where(F.slice("d.words", F.col("p.start") + 1, size) == F.col("p.window"))
+        met = met.select(*(F.col(f"p.{k}") for k in keys), F.struct(F.col("p.start").alias("start"), size.alias("length")).alias("span"), F.col("p.items").alias("items"))
+        nowhere = (F.lit(None).cast(met.schema[c].dataType).alias(c) for c in ("span", "items"))
+        met = met.unionByName(own.select(*keys, *nowhere))
     found = met.groupBy(*keys).agg(
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -109,12 +111,13 @@ def n_hit(spans: Column) -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows in which a window occurs; columns stay."""
-    found = occurrences(docs, items, id_col, text_col).where(F.size("spans") > 0)
-    bad = common.stored(found.select(F.struct("doc", "h1", "h2").alias("__hit")).distinct(), "contaminated")
+    found = occurrences(docs, items, id_col, text_col, broadcast_bytes=broadcast_bytes).where(F.size("spans") > 0)
+    hit = common.fresh(docs.columns, "hit")
+    bad = common.stored(found.select(F.struct("doc", "h1", "h2").alias(hit)).distinct(), "contaminated")
     if bad.count() * 64 <= broadcast_bytes:
         bad = F.broadcast(bad)
     text = F.col(text_col)
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__hit.doc")) & (F.xxhash64(text) == F.col("__hit.h1")) & (F.xxhash64(F.lit(1), text) == F.col("__hit.h2"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{hit}.doc")) & (F.xxhash64(text) == F.col(f"{hit}.h1")) & (F.xxhash64(F.lit(1), text) == F.col(f"{hit}.h2"))
     return docs.join(bad, same, "left_anti")
 
 
