@@ -11,11 +11,14 @@ What reaches the driver is ``size`` n-grams for each language.
 
 Defined cases: a text that is null, empty or without letters is ``und`` with score 0; ties of counts are broken by
 n-gram and ties of cost by language; rows without language are not learned from; if nothing can be learned every
-row is ``und``; repeated rows count each; other columns are ignored, whatever their names.
+row is ``und``; rows with null id are not learned from and not held out; repeated rows count each; an empty table gives
+no rows; a long text is read whole, in pieces of about ``PIECE`` characters cut between words; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import common
 
-SIZE = 300
+SIZE, PIECE, SLICE = 300, 1 << 20, 256
 UNKNOWN = "und"
 _BREAK = 0x20
 _TABLE: list[np.ndarray] = []
@@ -44,8 +47,28 @@ def _letters() -> np.ndarray:
     return _TABLE[0]
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+_SPACE = re.compile(r"\s")
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """A text cut at white space; n-grams never reach over a break, so those of the pieces are those of the text."""
+    at = 0
+    while len(text) - at > size and (cut := _SPACE.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def grams(text: str, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of a text (21 bits a character) and their counts; none without letters."""
+    if len(text) <= size:
+        return _grams(text)
+    parts = [_grams(p) for p in pieces(text, size)]
+    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     s = _letters()[cps]
     s = np.concatenate(([_BREAK], s, [_BREAK]))
@@ -75,14 +98,14 @@ def profiles(docs: DataFrame, lang: Column, text: Column, size: int = SIZE) -> d
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], names=["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in common.slices(batches, SLICE):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 sums = held.setdefault(lang, {})
-                for at in range(0, len(texts), 64):  # a break keeps the texts of a chunk apart
-                    for g, n in zip(*(a.tolist() for a in grams(" ".join(texts[at : at + 64])))):
+                for joined in pieces(" ".join(texts), PIECE // 4):  # a break keeps the texts of a slice apart
+                    for g, n in zip(*(a.tolist() for a in grams(joined))):
                         sums[g] = sums.get(g, 0) + n
             if sum(map(len, held.values())) > 500_000:
                 yield from emit()
@@ -118,16 +141,16 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
         return langs[best], float(1 - cost[best] / (size * len(codes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, SLICE):
             found = [nearest(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    own = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text"))
+    own = docs.select(id_col, *keep, F.col(text_col).cast("string").alias(common.fresh([id_col, *keep], "text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
     return own.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (common.fold(F.col("doc_id"), 3) == 1).alias("held_out"))
-    known = profiles(docs.where("NOT held_out"), F.col("lang"), F.col("text"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(common.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"))
+    known = profiles(docs.where("NOT held_out AND doc_id IS NOT NULL"), F.col("lang"), F.col("text"))
     return identify(docs, known, keep=("held_out",))
