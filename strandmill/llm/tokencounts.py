@@ -2,27 +2,35 @@
 
 A ledger keeps additive totals by source, language and tokenizer version. Changes come in batches of signed
 rows: an insert is +1 document and +n tokens, a delete -1 and -n, a revised count is a delete and an insert.
-A batch is added up by its keys before it is written, under its own id; committing the same id again
-replaces that batch by itself, so a commit that is repeated after a lost driver or executor counts once.
-Totals are the sum over all batches and never look at a document again.
+A batch is added up by its keys and written under a fresh name; one more file of the manifest, which appears whole or
+not at all, then makes it count. Nothing is overwritten: a commit that breaks off before that leaves the totals as
+they were, and of several commits of one id only the latest counts, so a commit that is repeated after a lost driver
+or executor counts once. Totals are the sum over the batches that count and never look at a document again.
+``compact`` adds them up into one; a later commit of an id that is compacted changes nothing.
+
+One writer at a time commits to a ledger; readers need no lock.
 
 Defined cases: null source or language are keys of their own; a null text has no tokens; repeated rows count
 each; an empty batch commits and changes nothing; keys whose documents and tokens are both 0 are left out;
-other columns are ignored, whatever their names.
+a text of any length is counted whole, and a task holds 256 texts at once; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import common
 from strandmill.llm.tokens import BYTE_BPE_50K, encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
+_ENTRY = "seq long, batch_id string, name string, holds array<string>"
 _DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -33,7 +41,7 @@ def counted(docs: DataFrame, text_col: str = "text", tokenizer: str = BYTE_BPE_5
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, added_tokens=True)
         for b in batches:
-            n = [len(encode(t)) // 4 for t in b.column(5).to_pylist()]
+            n = [len(encode(t)) // 4 for t in common.values(b.column(5))]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "text_key", "utf8_bytes", "bpe_tokens"])
 
     return own.mapInArrow(run, "doc_id long, source string, lang string, text_key string, utf8_bytes long, bpe_tokens long")
@@ -48,19 +56,48 @@ class TokenLedger:
     """Totals under one folder; ``root`` must be shared by driver and executors."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, root.rstrip("/")
+        spark.createDataFrame([], _ENTRY).write.mode("append").json(f"{self.root}/manifest")
+
+    def _entries(self) -> list[Row]:
+        """The entries that count: the latest of each id that no compaction holds, and compactions no other one holds."""
+        rows = self.spark.read.schema(_ENTRY).json(f"{self.root}/manifest").orderBy("seq").collect()
+        latest = {r.batch_id: r for r in rows}
+        held = {i for r in rows for i in r.holds}
+        return [r for i, r in latest.items() if i not in held]
+
+    def _held(self) -> set[str]:
+        return {i for r in self.spark.read.schema(_ENTRY).json(f"{self.root}/manifest").collect() for i in r.holds}
+
+    def _write(self, batch_id: str, rows: DataFrame, holds: list[str]) -> None:
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.root}/data/{name}")
+        entry = self.spark.createDataFrame([(time.time_ns(), batch_id, name, holds)], _ENTRY)
+        entry.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
     def commit(self, batch_id: str, *changes: DataFrame) -> None:
-        """Add up the signed rows by key and write them as the batch; the same id again replaces it."""
+        """Add up the signed rows by key and let them count as the batch, in place of an earlier one of that id."""
+        if batch_id in self._held():
+            return
         rows = changes[0]
         for more in changes[1:]:
             rows = rows.unionByName(more)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
+        self._write(batch_id, rows, [])
+
+    def compact(self) -> None:
+        """One batch in place of all that count now."""
+        entries = self._entries()
+        if len(entries) > 1:
+            held = sorted({r.batch_id for r in entries} | {i for r in entries for i in r.holds})
+            self._write(f"compaction-{uuid.uuid4().hex}", self._rows(entries), held)
+
+    def _rows(self, entries: list[Row]) -> DataFrame:
+        read = self.spark.read.schema(_DELTA)
+        return read.parquet(*(f"{self.root}/data/{r.name}" for r in entries)) if entries else self.spark.createDataFrame([], _DELTA)
 
     def totals(self) -> DataFrame:
-        batches = self.spark.read.schema(_DELTA).parquet(self.root)
-        sums = batches.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._rows(self._entries()).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
 
