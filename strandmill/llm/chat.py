@@ -1,10 +1,12 @@
 """Chat formatting over reply trees.
 
-Messages are nodes of trees (tree, node, parent). Self-joins that double the reach of each step give every
-node's way to its root in log2(nodes of the largest tree) rounds; nodes that reached it leave the rounds.
-Ways that end in a leaf are branches.
-Branches are ranked by the mean score of their messages, and each chosen branch is formatted as one
-conversation. The rounds carry node numbers only; texts are joined once, to the chosen branches.
+Messages are nodes of trees (tree, node, parent). Self-joins that double the reach of each step give every node's
+depth and the sum of scores up to its root in log2(depth of the deepest tree) rounds; nodes that reached it leave the
+rounds. Ways that end in a leaf are branches, ranked by the mean score of their messages.
+
+Only chosen branches are written out as paths: the same steps, taken from the longest to the shortest, halve each
+branch until every part is one node. So no node ever carries its path, and a chain of n messages takes n log n small
+rows, not n * n / 2. The rounds carry node numbers only; texts are joined once, to the chosen branches.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts a backslash becomes
 ``\\b``, each control string gets ``\\-`` after its first character, and a line break inside a role becomes
@@ -12,15 +14,15 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles a
 reading back is exact. The loss mask is a list of spans (in characters) over the texts of assistant turns.
 
 Defined cases: null text is empty; null role is empty and has no loss; a null score counts as 0; equal
-scores prefer the smaller leaf; a node whose parent is null or missing is a root; nodes on a cycle of
-parents have no root and are left out; repeated rows of one turn stay, ordered by role and text; an empty
-table gives no rows; other columns are ignored, whatever their names.
+scores prefer the smaller leaf; rows with null tree are one tree of their own; rows with null node are left out, as
+nothing can name them (``chain`` numbers all rows, so none has a null node there); a node whose parent is null or
+missing is a root; nodes on a cycle of parents have no root and are left out; repeated rows of one turn stay, ordered
+by role and text; an empty table gives no rows; a text of any length is one value of one row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,34 +51,37 @@ def chain(messages: DataFrame, tree: str = "conv_id", turn: str = "turn") -> Dat
 
 
 def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, leaf, rank, score, path) of the ``top`` best branches of each tree; paths run from the root."""
-    ids = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = ids.select("tree", F.col("node").alias("parent"))
-    rooted = ids.join(known.distinct().withColumn("known", F.lit(True)), ["tree", "parent"], "left")
-    ways = common.stored(rooted.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("next"), "score", F.array("node").alias("path")), "ways")
+    """(tree, leaf, rank, score, at, node): the nodes of the ``top`` best branches of each tree; ``at`` counts from the root."""
+    ids = nodes.where("node IS NOT NULL").select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    known = ids.select("tree", F.col("node").alias("parent")).distinct().withColumn("known", F.lit(True))
+    up = F.when(F.col("known"), F.col("parent")).alias("up")
+    ways = common.stored(ids.join(known, ["tree", "parent"], "left").select("tree", "node", up, "score", F.lit(1).cast("long").alias("n")), "ways")
     most = ways.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    done, going = ways.where("next IS NULL"), ways.where("next IS NOT NULL")
-    for _ in range(math.ceil(math.log2(most)) if most > 1 else 0):
-        if going.isEmpty():
+    done, going, steps = ways.where("up IS NULL"), ways.where("up IS NOT NULL"), []
+    while not going.isEmpty():
+        steps.append(going.select("tree", "node", "up"))
+        if 1 << (len(steps) - 1) >= most:  # only nodes above a cycle are left
             break
-        upper = done.unionByName(going).select("tree", F.col("node").alias("next"), F.col("next").alias("next_up"), F.col("score").alias("score_up"), F.col("path").alias("path_up"))
-        joined = going.join(upper, ["tree", "next"], "left")
-        ways = common.stored(
-            joined.select("tree", "node", F.col("next_up").alias("next"), (F.col("score") + F.coalesce("score_up", F.lit(0.0))).alias("score"), F.concat(F.coalesce("path_up", F.array().cast("array<long>")), "path").alias("path")),
-            "ways",
-        )
-        done, going = done.unionByName(ways.where("next IS NULL")), ways.where("next IS NOT NULL")
+        upper = done.unionByName(going).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("n").alias("n2"))
+        ways = going.join(upper, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("n") + F.col("n2")).alias("n"))
+        ways = common.stored(ways, "ways")
+        done, going = done.unionByName(ways.where("up IS NULL")), ways.where("up IS NOT NULL")
     inner = ids.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = done.join(inner, ["tree", "node"], "left_anti")
-    ranked = leaves.withColumn("score", F.col("score") / F.size("path")).withColumnRenamed("node", "leaf")
+    leaves = done.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("n")).alias("score"), "n")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= top).select("tree", "leaf", "rank", "score", "path")
+    parts = leaves.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("node", F.col("leaf")).withColumn("last", F.col("n") - 1)
+    for k in reversed(range(len(steps))):  # a part of n nodes, the lowest at place ``last``
+        reach = F.lit(1 << k)
+        parts = common.stored(parts, "parts")
+        long = parts.where(F.col("n") > reach)
+        far = long.join(steps[k], ["tree", "node"]).withColumn("node", F.col("up")).withColumn("last", F.col("last") - reach).withColumn("n", F.col("n") - reach)
+        parts = parts.withColumn("n", F.least("n", reach)).unionByName(far.select(*parts.columns))
+    return parts.select("tree", "leaf", "rank", "score", F.col("last").alias("at"), "node")
 
 
 def format_branches(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """(tree, leaf, rank, score, formatted, loss_spans): one row per chosen branch."""
-    steps = chosen.select("tree", "leaf", "rank", "score", F.posexplode("path").alias("at", "node"))
-    turns = steps.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    turns = chosen.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\n"))
     turns = turns.withColumn("head", F.concat(F.lit(OPEN), role, F.lit("\n"))).withColumn("body", escape(F.coalesce("text", F.lit(""))))
     turns = turns.withColumn("turn", F.concat("head", "body", F.lit(CLOSE)))
@@ -90,8 +95,9 @@ def format_branches(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def format_chats(nodes: DataFrame, top: int = 1) -> DataFrame:
-    nodes = common.stored(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
-    return format_branches(nodes, branches(nodes, top))
+    # In a struct, null trees are equal to each other and can be joined.
+    nodes = common.stored(nodes.select(F.struct("tree").alias("tree"), "node", "parent", "role", "text", "score"), "nodes")
+    return format_branches(nodes, branches(nodes, top)).withColumn("tree", F.col("tree.tree"))
 
 
 def read_turns(formatted: Column) -> Column:
