@@ -9,8 +9,8 @@ BASES = "ACGT"
 
 
 def normalised(raw: Column) -> Column:
-    """A line as a read: trimmed, upper case, U as T."""
-    return F.translate(F.upper(F.trim(raw)), "U", "T")
+    """A line as a read: without white space around it, upper case, U as T."""
+    return F.translate(F.upper(F.regexp_replace(raw, r"^\s+|\s+$", "")), "U", "T")
 
 
 def encoded(seq: Column) -> Column:
@@ -24,20 +24,26 @@ def text_as_read(text: Column) -> Column:
 
 
 def decoded(digits: Column) -> Column:
-    """Digit codes as letters; 4 is the wildcard ``*``, other characters than digits and letters ``?``."""
-    return F.translate(F.regexp_replace(digits, "[5-9]", "?"), "01234", "ACGT*")
+    """Codes as letters: 0 to 3 are bases, 4 and whatever is no digit the wildcard ``*``, other digits ``?``."""
+    return F.translate(F.regexp_replace(F.regexp_replace(digits, "(?s)[^0-9]", "*"), "[5-9]", "?"), "01234", "ACGT*")
 
 
 def pack(seq: Column) -> Column:
     """2 bits a base, the first base highest; at most 31 bases fit a BIGINT in order. Empty is 0."""
-    digits = F.split(F.translate(seq, BASES, "0123"), "")
-    return F.aggregate(F.filter(digits, lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: F.shiftleft(acc, 2).bitwiseOR(c.cast("long")))
+    return F.when(seq == "", F.lit(0)).otherwise(F.conv(F.translate(seq, BASES, "0123"), 4, 10)).cast("long")
 
 
 def unpack(code: Column, length: Column) -> Column:
-    at = F.sequence(length - 1, F.lit(0), F.lit(-1))
-    base = lambda i: F.substring(F.lit(BASES), (F.call_function("shiftrightunsigned", code, (2 * i).cast("int")).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
-    return F.array_join(F.transform(at, base), "")
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), length, F.lit("0")), "0123", BASES)
+
+
+def pack_with_length(seq: Column) -> Column:
+    """As ``pack``, with a 1 before the first base: words of all lengths up to 31 are different numbers."""
+    return F.conv(F.concat(F.lit("1"), F.translate(seq, BASES, "0123")), 4, 10).cast("long")
+
+
+def unpack_with_length(code: Column) -> Column:
+    return F.translate(F.substring(F.conv(code.cast("string"), 10, 4), 2, 31), "0123", BASES)
 
 
 def two_bits(code: Column, place: Column) -> Column:
@@ -45,6 +51,11 @@ def two_bits(code: Column, place: Column) -> Column:
     return F.call_function("shiftrightunsigned", code, (2 * place).cast("int")).bitwiseAND(F.lit(3))
 
 
+def bit(mask: Column, place: Column) -> Column:
+    """The bit of a mask at a place counted from the last character."""
+    return F.call_function("shiftrightunsigned", mask, place.cast("int")).bitwiseAND(F.lit(1))
+
+
 def wildcard_mask(pattern: Column) -> Column:
     """1 bit a character, set where the pattern has ``*``; the first character highest."""
     chars = F.filter(F.split(pattern, ""), lambda c: c != "")

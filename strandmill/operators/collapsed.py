@@ -55,7 +55,8 @@ def fold(found: DataFrame, reads: DataFrame) -> DataFrame:
 
     A round finds the next read that would change the set and intersects with it; reads that hold all of the set or
     none of it are passed over together. The set only shrinks, so there are fewer rounds than the first read has
-    candidates.
+    candidates, however many reads there are. Rounds come one after the other, as the variant's order of reads asks; all
+    reads take part in each at once.
     """
     first = reads.agg(F.min("sid")).first()[0]
     running, at = found.where(F.col("sid") == first).select("w"), first

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.sequence import BASES, substrings
+from strandmill.functions.sequence import BASES, encoded, pack_with_length, substrings, unpack_with_length
+
+LONGEST = 31  # bases that a BIGINT holds with their number
+BROADCAST_ROWS = 1 << 20  # pairs of packed words, 16 bytes each
 
 
 def kmers(reads: DataFrame, l: int, d: int = 0) -> DataFrame:  # noqa: E741
@@ -41,6 +44,42 @@ def edits(words: DataFrame, make, column: str = "x") -> DataFrame:
 
 def neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     """(x, w): all words w of length l within d edits of the distinct words x."""
+    if l + d > LONGEST:
+        return _neighbourhood_of_text(words, l, d)
+    near = packed_neighbourhood(words.where((F.length("x") > 0) & (F.abs(F.length("x") - l) <= d)).select(pack_with_length(F.col("x")).alias("x")), l, d)
+    return near.select(unpack_with_length(F.col("x")).alias("x"), unpack_with_length(F.col("w")).alias("w"))
+
+
+def packed_neighbourhood(words: DataFrame, l: int, d: int, of: str = "x") -> DataFrame:  # noqa: E741
+    """As ``neighbourhood``, for words x packed with their lengths, 1 to l + d bases each; the words near each ``of``."""
+    layer = words.select(of, F.col("x").alias("w"))
+    for left in range(d - 1, -1, -1):
+        layer = layer.select(of, F.explode(_packed_edits(F.col("w"), l, left)).alias("w")).distinct()
+    return layer if d else layer.where((F.col("w") >= 4**l) & (F.col("w") < 2 * 4**l))
+
+
+def _packed_edits(w: Column, l: int, left: int) -> Column:  # noqa: E741
+    """Packed words one edit from w, and w itself, of lengths from which l can be reached with ``left`` edits.
+
+    The places of a word are known from its length, so there is one fixed list of expressions for each length.
+    """
+    shift = lambda c, bits: F.shiftleft(c, bits) if bits >= 0 else F.shiftright(c, -bits)
+    low = lambda i: w.bitwiseAND(F.lit((1 << 2 * i) - 1).cast("long"))
+    at = lambda b, i: F.lit(b << 2 * i).cast("long")
+    made = F.array().cast("array<bigint>")
+    for k in range(max(1, l - left - 1), l + left + 2):
+        out = []
+        if abs(k - l) <= left:
+            out += [shift(shift(w, -2 * i - 2), 2 * i + 2).bitwiseOR(low(i)).bitwiseOR(at(b, i)) for i in range(k) for b in range(4)]
+        if abs(k - 1 - l) <= left and k > 1:
+            out += [shift(shift(w, -2 * i - 2), 2 * i).bitwiseOR(low(i)) for i in range(k)]
+        if abs(k + 1 - l) <= left:
+            out += [shift(shift(w, -2 * i), 2 * i + 2).bitwiseOR(low(i)).bitwiseOR(at(b, i)) for i in range(k + 1) for b in range(4)]
+        made = F.when((w >= 4**k) & (w < 2 * 4**k), F.array(*out)).otherwise(made)
+    return made
+
+
+def _neighbourhood_of_text(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     layer = words.select("x", F.col("x").alias("w")).where(F.abs(F.length("w") - l) <= d)
     for left in range(d - 1, -1, -1):
         near = [F.when(F.length("w") > 1, deletions(F.col("w"))).otherwise(F.array().cast("array<string>")), substitutions(F.col("w")), insertions(F.col("w"))]
@@ -49,11 +88,53 @@ def neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     return layer
 
 
+def numbered(reads: DataFrame) -> DataFrame:
+    """(read, seq): prepared reads with a number each, which follows the order in which the source is scanned."""
+    return prepared(reads).withColumn("read", F.monotonically_increasing_id())
+
+
+def dealt(reads: DataFrame) -> DataFrame:
+    """Numbered reads by number: they will grow a hundredfold, so all tasks get some, and what is made of a read stays in its task."""
+    return numbered(reads).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read")
+
+
+def own_words(numbered: DataFrame, l: int, d: int = 0) -> DataFrame:  # noqa: E741
+    """(read, x): the distinct substrings of each read; they are made distinct where the read stands, without a shuffle."""
+    return numbered.select("read", F.explode(F.array_distinct(substrings(F.col("seq"), l - d, l + d))).alias("x"))
+
+
+def prepared(reads: DataFrame) -> DataFrame:
+    """(seq): every row is one read, whatever its sid; null is a read without bases, other letters than ACGT count as A."""
+    return reads.select(encoded(F.coalesce("seq", F.lit(""))).alias("seq"))
+
+
 def supports(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
-    """(w, n_reads): in how many reads each word of length l has a substring within d edits."""
-    own = kmers(reads, l, d).distinct()
-    near = neighbourhood(own.select("x").distinct(), l, d)
-    return own.join(near, "x").select("sid", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n_reads"))
+    """(w, n_reads): in how many reads each word of length l has a substring within d edits.
+
+    Reads are dealt by number before they grow, so whatever is made distinct for a read needs no shuffle; only counts by
+    word are shuffled, added up before. Where all words there can be and their neighbourhoods are few (short words, that
+    many reads share), these are made once and broadcast; otherwise each read's words are edited in place.
+    """
+    own = own_words(dealt(reads), l, d)
+    if l + d > LONGEST:
+        near = neighbourhood(own.select("x").distinct(), l, d)
+        return own.join(near, "x").select("read", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n_reads"))
+    own = own.select("read", pack_with_length(F.col("x")).alias("x"))
+    if _most_words(l, d) * most_near(l, d) <= BROADCAST_ROWS:
+        near = packed_neighbourhood(own.select("x").distinct(), l, d)
+        found = own.join(F.broadcast(near), "x").select("read", "w").distinct()
+    else:
+        found = packed_neighbourhood(own, l, d, "read").select("read", "w")
+    return found.groupBy("w").agg(F.count(F.lit(1)).alias("n_reads")).select(unpack_with_length(F.col("w")).alias("w"), "n_reads")
+
+
+def _most_words(l: int, d: int) -> int:  # noqa: E741
+    return sum(4**k for k in range(max(1, l - d), l + d + 1))
+
+
+def most_near(l: int, d: int) -> int:  # noqa: E741
+    """A bound of the words of length l within d edits of one word: each edit has less than 8 l + 8 d + 4 ways."""
+    return min(4**l, (8 * (l + d) + 5) ** d)
 
 
 def intersection(parts: list[DataFrame]) -> DataFrame:

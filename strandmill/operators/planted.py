@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import random
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import BASES
@@ -10,9 +12,10 @@ from strandmill.functions.sequence import BASES
 HEX, AS_BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
 
-def random_bases(seed: Column) -> Column:
-    """32 bases from the MD5 of a text."""
-    return F.translate(F.md5(seed.cast("string").cast("binary")), HEX, AS_BASES)
+def random_bases(seed: Column, length: int = 32) -> Column:
+    """Bases from the MD5 of a text; beyond 32 from those of the text with a number after it."""
+    blocks = [seed.cast("string"), *(F.concat(seed.cast("string"), F.lit(f"/{i}")) for i in range(1, -(-length // 32)))]
+    return F.substring(F.translate(F.concat(*(F.md5(b.cast("binary")) for b in blocks)), HEX, AS_BASES), 1, length)
 
 
 def small_number(seed: Column, below: Column | int) -> Column:
@@ -21,13 +24,18 @@ def small_number(seed: Column, below: Column | int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(seed.cast("binary")), 1, 8), 16, 10).cast("long"), most).cast("int")
 
 
-def planted(rows: DataFrame, key: Column, motif: str, d: int) -> DataFrame:
+def random_motif(seed: int | str, l: int) -> str:  # noqa: E741
+    rng = random.Random(f"motif {seed}")
+    return "".join(rng.choices(BASES, k=l))
+
+
+def planted(rows: DataFrame, key: Column, motif: str, d: int, length: int = 32, seed: str = "") -> DataFrame:
     """(sid, edited, pos, seq): a read for each key with an edited motif written over it; pos counts from 0.
 
     ``d`` edits: 0 to d deletions, then 0 to d - deletions insertions, the rest substitutions by another base, each at
-    any place of the word so far. An edited motif longer than the read is not planted; its pos is 0.
+    any place of the word so far. All draws are hashes of ``seed`` and key. An edited motif longer than the read is not planted; its pos is 0.
     """
-    text = F.col("sid").cast("string")
+    text = F.concat(F.lit(seed), F.col("sid").cast("string"))
     draw = lambda name, below: small_number(F.concat(text, F.lit(name)), below)
     out = rows.select(key.alias("sid")).withColumn("edited", F.lit(motif)).withColumn("deletions", draw("deletions", d + 1))
     out = out.withColumn("insertions", draw("insertions", d + 1 - F.col("deletions")))
@@ -41,6 +49,18 @@ def planted(rows: DataFrame, key: Column, motif: str, d: int) -> DataFrame:
         other = (F.instr(F.lit(BASES), F.substring(edited, at, F.lit(1))) + draw(f"s{i}", 3)) % 4 + 1
         changed = F.when(size > 0, F.concat(head, F.substring(F.lit(BASES), other, F.lit(1)), tail)).otherwise(edited)
         out = out.withColumn("edited", F.when(F.lit(i) < F.col("deletions"), F.concat(head, tail)).when(inserts, added).otherwise(changed))
-    out = out.withColumn("read", random_bases(F.col("sid"))).withColumn("pos", draw("pos", F.length("read") - size + 1).cast("long"))
+    out = out.withColumn("read", random_bases(text, length)).withColumn("pos", draw("pos", F.length("read") - size + 1).cast("long"))
     seq = F.when(size > F.length("read"), F.col("read")).otherwise(F.overlay("read", "edited", F.col("pos").cast("int") + 1, size))
     return out.select("sid", "edited", "pos", seq.alias("seq"))
+
+
+def generate(spark: SparkSession, n: int, length: int, l: int, d: int, seed: int | str) -> DataFrame:  # noqa: E741
+    """(sid, motif, edited, pos, seq): n planted reads with a random motif of l bases."""
+    motif = random_motif(seed, l)
+    return planted(spark.range(n), F.col("id"), motif, d, length, f"{seed}:").withColumn("motif", F.lit(motif))
+
+
+def write_planted(rows: DataFrame, path: str) -> None:
+    """Two lines for each read, what was planted and the read, as a folder of text files in order."""
+    said = F.concat(F.col("sid").cast("string"), F.lit(" Motif "), "motif", F.lit(" planted as "), "edited", F.lit(" at position "), F.col("pos").cast("string"))
+    rows.orderBy("sid").select(F.concat(said, F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)

@@ -4,33 +4,62 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import distance_to
-from strandmill.operators import bitmap, neighbours
+from strandmill.operators import bitmap, neighbours, verify
+
+ROW_SECONDS = 1e-7  # one word near one word of a read, by rows
+CHEAP_SECONDS = 1e-3  # bitmaps that take no longer are taken without measuring the reads
 
 
 @dataclass(frozen=True)
 class MotifQuery:
-    """``quorum`` is a share of the reads; 1 asks for all. ``strategy``: rows, bitmap, or auto by the size of 4^l."""
+    """``quorum`` is a share of the reads, exact as it is written (0.55 of 100 reads are 55); 1 asks for all.
+
+    Every row of the reads is one read. ``strategy``: rows, bitmap, or auto, which takes bitmaps where they fit in memory
+    and cost less for reads of the given length. Both give the same rows.
+    """
 
     l: int  # noqa: E741
     d: int
-    quorum: float = 1.0
+    quorum: float | Decimal = 1
     strategy: str = "auto"
 
     def __post_init__(self):
         if self.l <= 0 or self.d < 0 or not 0 < self.quorum <= 1 or self.strategy not in ("auto", "rows", "bitmap"):
             raise ValueError(f"bad parameters: {self}")
 
-    def supports(self, reads: DataFrame) -> DataFrame:
-        small = self.strategy == "bitmap" or self.strategy == "auto" and bitmap.fits(self.l, self.d)
-        return (bitmap if small else neighbours).supports(reads, self.l, self.d)
+    def least(self, n_reads: int) -> int:
+        return max(1, math.ceil(Decimal(str(self.quorum)) * n_reads))
+
+    def by_bitmap(self, bases: float) -> bool:
+        """Whether bitmaps are the better way for reads of so many bases."""
+        if self.strategy != "auto":
+            return self.strategy == "bitmap"
+        words = sum(min(bases, 4**k) for k in range(max(1, self.l - self.d), self.l + self.d + 1))
+        by_rows = ROW_SECONDS * words * neighbours.most_near(self.l, self.d)
+        return bitmap.fits(self.l, self.d) and bitmap.seconds(self.l, self.d) <= max(by_rows, CHEAP_SECONDS)
 
     def run(self, reads: DataFrame, consensus: str = "") -> DataFrame:
         """(motif, n_reads, distance) for reads (sid, seq)."""
-        least = math.ceil(self.quorum * reads.count())
-        kept = self.supports(reads).where(F.col("n_reads") >= max(1, least))
+        asked = self.strategy == "auto" and bitmap.fits(self.l, self.d) and bitmap.seconds(self.l, self.d) > CHEAP_SECONDS
+        measured = reads.select(F.spark_partition_id().alias("task"), (F.length("seq") if asked else F.lit(0)).alias("bases"))
+        n, tasks, bases = measured.agg(F.count(F.lit(1)), F.max("task"), F.avg("bases")).first()
+        if not self.by_bitmap(bases or 0):
+            return self._kept(neighbours.supports(reads, self.l, self.d), n, consensus)
+        cores = reads.sparkSession.sparkContext.defaultParallelism
+        if (tasks or 0) + 1 < cores:  # a small source in few splits; larger ones stay where they are
+            reads = reads.select("seq").repartition(cores)
+        return self._kept(bitmap.supports(reads, self.l, self.d), n, consensus)
+
+    def verify(self, candidates: DataFrame, reads: DataFrame, consensus: str = "") -> DataFrame:
+        """What ``run`` gives of the candidates (w); for words that are too long to enumerate."""
+        return self._kept(verify.supports(candidates, reads, self.l, self.d), reads.count(), consensus)
+
+    def _kept(self, supports: DataFrame, n_reads: int, consensus: str) -> DataFrame:
+        kept = supports.where(F.col("n_reads") >= self.least(n_reads))
         return kept.select(F.col("w").alias("motif"), "n_reads", distance_to(F.col("w"), F.lit(consensus)).alias("distance"))
