@@ -1,4 +1,8 @@
-"""Command line: ``python -m strandmill.cli -s 1 -l 8 -d 1 -t 4 FILE``."""
+"""Command line: ``python -m strandmill.cli -s 1 -l 8 -d 1 -t 4 FILE``.
+
+Exit code 0; 255 with a message on the error stream for usage, bad parameters, a file that is not there and any other
+failure; argparse's own 2 for an unknown ``-s`` or a value that is no number.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,33 +19,60 @@ from strandmill.operators import collapsed
 from strandmill.plans.motif import MotifQuery
 from strandmill.sources import reads as R
 
+NAMES = {"1": "ems1", "2": "ems2", "2m": "ems2m", "2p": "ems2p"}
 
-def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser("strandmill", description="Motifs within an edit distance in all reads of a file.")
-    parser.add_argument("-s", choices=("1", "2", "2m", "2p"), default="2", help="1, 2, 2m: exact; 2p: the collapsed variant")
+
+def _parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser("strandmill", add_help=False, description="Motifs within an edit distance in all reads of a file.")
+    parser.add_argument("-s", choices=tuple(NAMES), default="2", help="1, 2, 2m: exact; 2p: the collapsed variant")
     parser.add_argument("-l", type=int, default=1)
     parser.add_argument("-d", type=int, default=1)
     parser.add_argument("-t", type=int, default=0, help="cores; 0 means all")
     parser.add_argument("--header-mode", choices=("strict", "reference"), default="reference")
-    parser.add_argument("file")
-    a = parser.parse_args(argv)
-    if a.l <= 0 or a.d < 0:
-        print("l must be positive and d not negative", file=sys.stderr)
-        return 255
-    spark = SparkSession.builder.master(f"local[{a.t or '*'}]").appName("strandmill").getOrCreate()
+    parser.add_argument("-h", "--help", action="store_true")
+    parser.add_argument("file", nargs="?")
+    return parser
+
+
+def search(spark: SparkSession, file: str, s: str, l: int, d: int, header_mode: str = "reference") -> str:  # noqa: E741
+    """Read, search, write the motifs and the run record; gives the path of the motifs."""
     start = time.time()
-    lines = R.lines(spark, a.file).cache()
+    lines = R.lines(spark, file).cache()
     consensus = (R.consensus(lines).first() or {"consensus": ""})["consensus"]
-    reads = R.reads(lines, a.header_mode)
-    if a.s == "2p":
-        motifs = collapsed.fold(collapsed.candidates(reads, a.l, a.d), reads).select(F.col("w").alias("motif"), distance_to(F.col("w"), F.lit(consensus)).alias("distance"))
+    reads = R.reads(lines, header_mode)
+    if s == "2p":
+        motifs = collapsed.fold(collapsed.candidates(reads, l, d), reads).select(F.col("w").alias("motif"), distance_to(F.col("w"), F.lit(consensus)).alias("distance"))
     else:
-        motifs = MotifQuery(a.l, a.d).run(reads, consensus)
+        motifs = MotifQuery(l, d).run(reads, consensus)
     motifs = motifs.cache()
-    name = {"1": "ems1", "2": "ems2", "2m": "ems2m", "2p": "ems2p"}[a.s]
-    out = R.result_path(a.file, name, a.l, a.d)
+    out = R.result_path(file, NAMES[s], l, d)
     R.write_motifs(motifs, out)
-    R.append_run(spark, out.rpartition("/")[0] + "/runs", name, a.l, a.d, time.time() - start, motifs.count())
+    n, took = motifs.count(), time.time() - start
+    R.append_run(spark, out.rpartition("/")[0] + "/runs", NAMES[s], l, d, took, n)
+    print(f"{NAMES[s]}: ({l},{d}) {n} motifs in {took:.1f} s, written to {out}")
+    return out
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = _parser().parse_args(argv)
+    if a.help or a.file is None:
+        _parser().print_help(sys.stderr)
+        return 255
+    if a.l <= 0 or a.d < 0:
+        print("Error: l must be > 0 and d must be >= 0.", file=sys.stderr)
+        return 255
+    try:
+        spark = SparkSession.builder.master(f"local[{a.t or '*'}]").appName("strandmill").getOrCreate()
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(R.shared_folder(spark, "rounds"))
+        search(spark, a.file, a.s, a.l, a.d, a.header_mode)
+    except AnalysisException as e:
+        missing = e.getCondition() == "PATH_NOT_FOUND"
+        print(f"Error: unable to open file {a.file}" if missing else f"An error occurred during execution: {e}", file=sys.stderr)
+        return 255
+    except Exception as e:
+        print(f"An error occurred during execution: {e}", file=sys.stderr)
+        return 255
     return 0
 
 

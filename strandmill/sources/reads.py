@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import encoded, normalised
 
-#: A line that states what was planted, with or without ``>``.
+#: Fixed values. A line that states what was planted, with or without ``>``.
 HEADER = r"Motif\s+([ACGTacgt]+)\s+planted"
 PLANTED = r"Motif\s+([ACGTacgt]+)\s+planted\s+as\s+([ACGTacgt]*)\s+at\s+position\s+(\d+)"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, raw) of every line; files are read whole because the order of lines counts."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("line_no", "raw"))
+    """(file, line_no, raw) of every line, numbered from 0 in each file.
+
+    Files are read in splits. Within a split lines come in order, so a line's number is its place in the split and the
+    number of lines in the splits before it; only these numbers, one for each split, are brought together.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("place"))
+    blocks = rows.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("line_no"), "raw")
 
 
 def reads(rows: DataFrame, header_mode: str = "strict") -> DataFrame:
@@ -51,6 +61,24 @@ def write_motifs(motifs: DataFrame, path: str) -> None:
     motifs.orderBy("motif").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def max_rss_kb() -> int:
+    """The most memory the driver's Python process has held; 0 where the system does not tell."""
+    try:
+        import resource
+    except ImportError:
+        return 0
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+
 def append_run(spark: SparkSession, path: str, variant: str, l: int, d: int, seconds: float, n_motifs: int) -> None:  # noqa: E741
-    row = [(variant, l, d, spark.sparkContext.defaultParallelism, seconds, n_motifs)]
-    spark.createDataFrame(row, "variant string, l int, d int, workers int, seconds double, n_motifs long").write.mode("append").json(path)
+    row = [(variant, l, d, spark.sparkContext.defaultParallelism, seconds, max_rss_kb(), n_motifs)]
+    schema = "variant string, l int, d int, workers int, seconds double, max_rss_kb long, n_motifs long"
+    spark.createDataFrame(row, schema).coalesce(1).write.mode("append").json(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; where it is unset, of this machine if Spark runs on it alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
