@@ -5,11 +5,13 @@ Reads are whole texts of ``documents`` with every other character as A, or 32 ba
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequence as S
-from strandmill.operators import bitmap, collapsed, neighbours, planted
+from strandmill.operators import collapsed, neighbours, planted, verify
 from strandmill.plans.motif import MotifQuery
 from strandmill.sources import reads as R
 
@@ -38,8 +40,9 @@ def encode_reads(spark, sf_dir):
 def line_filter(spark, sf_dir):
     """Lines of all documents as reads, by document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("raw")).where((F.trim("raw") != "") & ~F.trim("raw").startswith(">"))
-    return rows.groupBy("doc_id").agg(_count("n_reads"), F.sum(F.length(F.trim("raw"))).alias("n_bases"))
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("raw")).select("doc_id", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line"))
+    rows = lines.where((F.col("line") != "") & ~F.col("line").startswith(">"))
+    return rows.groupBy("doc_id").agg(_count("n_reads"), F.sum(F.length("line")).alias("n_bases"))
 
 
 def header_parse(spark, sf_dir):
@@ -53,7 +56,7 @@ def kmer_counts(spark, sf_dir):
 
 
 def kmer_distinct_reads(spark, sf_dir):
-    return neighbours.kmers(text_reads(spark, sf_dir), L).distinct().groupBy("x").agg(_count("n_reads"))
+    return neighbours.own_words(neighbours.numbered(text_reads(spark, sf_dir)), L).groupBy("x").agg(_count("n_reads"))
 
 
 def _edits(make):
@@ -160,6 +163,55 @@ def planted_motifs(spark, sf_dir):
     return MotifQuery(8, 1, 0.9, "rows").run(reads, LONG_WORD)
 
 
+def decode_motif(spark, sf_dir):
+    """Codes of several kinds: brands and keys of all parts."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    code = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))
+    return parts.select("p_partkey", code.alias("code"), S.decoded(code).alias("motif"))
+
+
+def mask_bits(spark, sf_dir):
+    """The bits of wildcard masks, by place."""
+    masks = wildcard_mask(spark, sf_dir).select("pattern", "mask", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("place"))
+    return masks.select("pattern", F.col("place").cast("long").alias("place"), S.bit(F.col("mask"), F.col("place")).alias("bit"))
+
+
+def _nation_files(spark, sf_dir):
+    """Lines of files written from all customers, one file a nation: a header and a read for each, in order of key."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), "c_custkey", planted.random_bases(F.col("c_custkey")).alias("seq"))
+    header = F.concat(F.lit("> "), F.col("c_custkey").cast("string"), F.lit(" Motif "), F.lower(F.substring("seq", 1, 8)), F.lit(" planted as "), F.substring("seq", 9, 9), F.lit(" at position 3. "))
+    pair = F.concat(header, F.lit("\n "), F.translate(F.lower("seq"), "t", "u"), F.lit("\t\n"))
+    path = R.shared_folder(spark, "nations")
+    people.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", pair.alias("value")).write.partitionBy("nation").text(path)
+    return R.lines(spark, path).withColumn("nation", F.regexp_extract("file", r"nation=(\d+)", 1).cast("long"))
+
+
+def read_file(spark, sf_dir):
+    """Reads of text files, numbered by line."""
+    lines = _nation_files(spark, sf_dir)
+    files = lines.select("file", "nation").distinct()
+    return R.reads(lines).join(files, "file").select("nation", "sid", "seq")
+
+
+def file_consensus(spark, sf_dir):
+    lines = _nation_files(spark, sf_dir)
+    return R.consensus(lines).join(lines.select("file", "nation").distinct(), "file").select("nation", "consensus")
+
+
+def result_sink(spark, sf_dir):
+    """Motifs of all key reads, written as lines and read again with their places."""
+    path = R.shared_folder(spark, "motifs")
+    R.write_motifs(MotifQuery(L, D, Decimal("0.2")).run(key_reads(spark, sf_dir), WORD), path)
+    lines = R.lines(spark, path)
+    return lines.select(F.row_number().over(Window.orderBy("file", "line_no")).cast("long").alias("place"), F.col("raw").alias("line"))
+
+
+def verify_candidates(spark, sf_dir):
+    """Long words (16, 3), made from the names of nations, in all key reads."""
+    words = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.substring(planted.random_bases(F.col("n_name")), 1, 16).alias("w"))
+    return verify.supports(words, key_reads(spark, sf_dir), 16, 3).withColumnRenamed("w", "motif")
+
+
 def queries() -> dict:
     return {
         "motif_quorum": _exact(L, 1, 0.9, text_reads, "auto"),
@@ -174,6 +226,8 @@ def queries() -> dict:
         "intersect_sorted": intersect_sorted, "merge_union": merge_union, "kway_merge": kway_merge,
         "plan_enumeration": plan_enumeration, "ems2p_candidates": ems2p_candidates, "ems2p_fold": ems2p_fold,
         "planted_generate": planted_generate, "planted_motifs": planted_motifs,
+        "decode_motif": decode_motif, "mask_bits": mask_bits, "read_file": read_file, "file_consensus": file_consensus,
+        "result_sink": result_sink, "verify_candidates": verify_candidates,
     }
 
 
@@ -227,11 +281,48 @@ _CODE = " + ".join(f"((instr('ACGT', substr(x, {i}, 1)) - 1)::BIGINT << {2 * (12
 _SIX = f"{_sql_kmers(_KEYS, 6, 6)}, sets AS (SELECT DISTINCT sid % 3 AS part, x AS w FROM kmers)"
 
 
+_COLLAPSED = f"""{_sql_kmers(_KEYS, L - 1, L + 1)},
+made AS (SELECT sid, substr(x, 1, CAST(i AS INTEGER)) || 'A' || substr(x, CAST(i AS INTEGER) + 1) AS w FROM kmers, range(0, {L}) AS r(i) WHERE length(x) = {L - 1}
+         UNION SELECT sid, substr(x, 1, CAST(i AS INTEGER) - 1) || 'A' || substr(x, CAST(i AS INTEGER) + 1) FROM kmers, range(1, {L} + 1) AS r(i) WHERE length(x) = {L}
+         UNION SELECT sid, substr(x, 2) FROM kmers WHERE length(x) = {L + 1})"""
+
+_FOLD = f"""{_COLLAPSED.replace("WITH", "WITH RECURSIVE", 1)},
+sets AS (SELECT row_number() OVER (ORDER BY reads.sid) AS i, coalesce(ws, []) AS ws
+         FROM reads LEFT JOIN (SELECT sid, list(w) AS ws FROM made GROUP BY sid) m ON m.sid = reads.sid),
+fold(i, ws) AS (SELECT i, ws FROM sets WHERE i = 1 UNION ALL
+                SELECT s.i, CASE WHEN len(list_intersect(f.ws, s.ws)) > 0 THEN list_intersect(f.ws, s.ws) ELSE f.ws END FROM fold f JOIN sets s ON s.i = f.i + 1)
+SELECT unnest(ws) AS motif FROM fold WHERE i = (SELECT max(i) FROM sets)"""
+
+
+def _sql_draw(name: str, below: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST(sid AS VARCHAR) || '{name}'), 1, 8))::BIGINT % greatest({below}, 1) AS INTEGER)"
+
+
+#: One edit: a deletion, or an insertion, or a substitution by another base.
+_PLANTED = f"""reads0 AS ({_KEYS}),
+drawn AS (SELECT sid, seq, {_sql_draw("deletions", "2")} AS del, {_sql_draw("s0", "3")} AS s0, {_sql_draw("i0", "4")} AS i0 FROM reads0),
+kinds AS (SELECT *, CASE WHEN del = 1 THEN 0 ELSE {_sql_draw("insertions", "2 - del")} END AS ins FROM drawn),
+placed AS (SELECT *, {_sql_draw("at0", "8 + ins")} AS p FROM kinds),
+changed AS (SELECT sid, seq, CASE WHEN del = 1 THEN substr('{LONG_WORD}', 1, p) || substr('{LONG_WORD}', p + 2)
+                 WHEN ins = 1 THEN substr('{LONG_WORD}', 1, p) || substr('ACGT', i0 + 1, 1) || substr('{LONG_WORD}', p + 1)
+                 ELSE substr('{LONG_WORD}', 1, p) || substr('ACGT', (instr('ACGT', substr('{LONG_WORD}', p + 1, 1)) + s0) % 4 + 1, 1) || substr('{LONG_WORD}', p + 2) END AS edited FROM placed),
+planted AS (SELECT sid, edited, CAST({_sql_draw("pos", "32 - length(edited) + 1")} AS BIGINT) AS pos, seq FROM changed)"""
+_PLANTED_READS = "SELECT sid, edited, pos, substr(seq, 1, pos::INTEGER) || edited || substr(seq, pos::INTEGER + length(edited)::INTEGER + 1) AS seq FROM planted"
+_PLANTED_MOTIFS = f"""WITH {_PLANTED}, reads AS ({_PLANTED_READS}),
+own AS (SELECT DISTINCT sid, substr(seq, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS x FROM reads, range(7, 10) AS r(k), range(1, 33) AS s(i) WHERE i + k <= 33),
+made AS (SELECT sid, substr(x, 1, CAST(i AS INTEGER) - 1) || substr(x, CAST(i AS INTEGER) + 1) AS w FROM own, range(1, 10) AS r(i) WHERE length(x) = 9
+         UNION SELECT sid, substr(x, 1, CAST(i AS INTEGER) - 1) || b || substr(x, CAST(i AS INTEGER) + 1) FROM own, range(1, 9) AS r(i), {_BASES} WHERE length(x) = 8
+         UNION SELECT sid, substr(x, 1, CAST(i AS INTEGER)) || b || substr(x, CAST(i AS INTEGER) + 1) FROM own, range(0, 8) AS r(i), {_BASES} WHERE length(x) = 7)
+SELECT w AS motif, count(*) AS n_reads, CAST(levenshtein(w, '{LONG_WORD}') AS BIGINT) AS distance FROM made GROUP BY w HAVING count(*) >= ceil(0.9 * (SELECT count(*) FROM reads))"""
+
+_PEOPLE = "people AS (SELECT c_nationkey::BIGINT AS nation, c_custkey, translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "motif_quorum": _sql_exact(L, 1, 0.9, _TEXT),
         "encode_reads": _TEXT,
-        "line_filter": "SELECT doc_id, count(*) AS n_reads, CAST(sum(length(trim(raw, ' '))) AS BIGINT) AS n_bases FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents) WHERE trim(raw, ' ') <> '' AND NOT starts_with(trim(raw, ' '), '>') GROUP BY doc_id",
+        "line_filter": "SELECT doc_id, count(*) AS n_reads, CAST(sum(length(line)) AS BIGINT) AS n_bases FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[ \\t\\x0B\\f\\r]+|[ \\t\\x0B\\f\\r]+$', '', 'g') AS line FROM documents) WHERE line <> '' AND NOT starts_with(line, '>') GROUP BY doc_id",
         "header_parse": f"WITH reads AS ({_KEYS}), h AS (SELECT sid, CAST(sid AS VARCHAR) || ' Motif ' || substr(seq, 1, 8) || ' planted as ' || substr(seq, 9, 9) || ' at position ' || CAST(sid % 500 AS VARCHAR) AS raw FROM reads) SELECT sid AS line_no, regexp_extract(raw, 'Motif ([ACGT]+) planted', 1) AS motif, regexp_extract(raw, 'as ([ACGT]+) at', 1) AS edited, CAST(regexp_extract(raw, 'position ([0-9]+)', 1) AS BIGINT) AS pos FROM h",
         "kmer_counts": f"{_sql_kmers(_TEXT, L, L)} SELECT x, count(*) AS n FROM kmers GROUP BY x",
         "kmer_distinct_reads": f"{_sql_kmers(_TEXT, L, L)} SELECT x, count(DISTINCT sid) AS n_reads FROM kmers GROUP BY x",
@@ -246,7 +337,17 @@ def oracle_sql() -> dict[str, str]:
         "distance_annotation": f"{_sql_supports(L, D, _KEYS)} SELECT w AS motif, CAST(levenshtein(w, '{WORD}') AS VARCHAR) AS distance FROM supports WHERE n_reads >= ceil(0.2 * (SELECT count(*) FROM reads))",
         "found_in_seq": f"{_sql_kmers(_KEYS, 6, 10)} SELECT sid, bool_or(levenshtein(x, '{LONG_WORD}') <= 2) AS found FROM kmers GROUP BY sid",
         "intersect_sorted": f"{_SIX} SELECT w FROM sets WHERE part = 0 INTERSECT SELECT w FROM sets WHERE part = 1 INTERSECT SELECT w FROM sets WHERE part = 2",
-        "merge_union": f"{_SIX} SELECT DISTINCT w FROM sets WHERE part < 2",
+        "merge_union": f"{_SIX} SELECT w FROM sets WHERE part < 2 UNION SELECT w FROM sets WHERE part = 2",
         "kway_merge": f"{_SIX} SELECT DISTINCT w FROM sets",
+        "ems2p_candidates": f"{_COLLAPSED} SELECT w, count(DISTINCT sid) AS n_reads FROM made GROUP BY w",
+        "ems2p_fold": _FOLD,
+        "planted_generate": f"WITH {_PLANTED} {_PLANTED_READS}",
+        "planted_motifs": _PLANTED_MOTIFS,
+        "decode_motif": "SELECT p_partkey, code, array_to_string(list_transform(string_split(code, ''), lambda c: CASE WHEN c IN ('0', '1', '2', '3') THEN substr('ACGT', c::INTEGER + 1, 1) WHEN c IN ('5', '6', '7', '8', '9') THEN '?' ELSE '*' END), '') AS motif FROM (SELECT p_partkey, p_brand || '-' || p_partkey AS code FROM part)",
+        "mask_bits": f"{_W12}, p AS (SELECT DISTINCT translate(x, 'T', '*') AS pattern FROM words) SELECT pattern, i AS place, CASE WHEN substr(pattern, 12 - CAST(i AS INTEGER), 1) = '*' THEN 1 ELSE 0 END::BIGINT AS bit FROM p, range(0, 12) AS r(i)",
+        "read_file": f"WITH {_PEOPLE} SELECT nation, 3 * i - 2 AS sid, seq FROM people",
+        "file_consensus": f"WITH {_PEOPLE} SELECT nation, substr(seq, 1, 8) AS consensus FROM people WHERE i = 1",
+        "result_sink": f"{_sql_supports(L, D, _KEYS)} SELECT row_number() OVER (ORDER BY w) AS place, w || chr(9) || 'Distance: ' || levenshtein(w, '{WORD}') AS line FROM supports WHERE n_reads >= ceil(0.2 * (SELECT count(*) FROM reads))",
+        "verify_candidates": f"{_sql_kmers(_KEYS, 13, 19)}, words AS (SELECT DISTINCT substr(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16) AS w FROM nation) SELECT w AS motif, count(DISTINCT sid) AS n_reads FROM words, kmers WHERE levenshtein(w, x) <= 3 GROUP BY w",
         "plan_enumeration": f"WITH reads AS ({_KEYS}), plans AS (SELECT q, p AS deletions, 2 - 2 * p + q AS substitutions, p - q AS insertions FROM range(-2, 3) AS r(q), range(0, 3) AS s(p) WHERE p >= greatest(0, q) AND 2 * p <= 2 + q) SELECT q, deletions, substitutions, insertions, CAST(sum(greatest(0, length(seq) - {L} - q + 1)) AS BIGINT) AS n_words FROM plans, reads GROUP BY ALL",
     }
