@@ -18,5 +18,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     yield session
     session.stop()
