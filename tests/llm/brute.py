@@ -84,3 +84,44 @@ def contamination(docs, items, width=10):
                     found |= windows[k]
         out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit))
     return out
+
+
+def lines(docs, ratio=0.1, least=2):
+    """(doc_id, text) of rows (doc_id, source, text) without the lines that stand on too many pages of their source."""
+    pages, on = defaultdict(int), defaultdict(set)
+    for i, (_, source, text) in enumerate(docs):
+        pages[source] += 1
+        for line in (text or "").split("\n"):
+            if line.strip(" "):
+                on[source, line.strip(" ")].add(i)
+    bad = {k for k, rows in on.items() if len(rows) >= least and len(rows) > ratio * pages[k[0]]}
+    return [(d, None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad)) for d, s, t in docs]
+
+
+def payload(text):
+    """n_bytes, payload, and the 8-bit WAV file by the standard library."""
+    import io
+    import wave
+
+    raw = (text or "").encode()
+    whole = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(1)
+        f.setframerate(8000)
+        f.writeframes(whole)
+    return len(raw), whole, out.getvalue()
+
+
+def chat(rows):
+    """conv_id -> (n_turns, turns_sha256, loss_chars, loss_sha256) of rows (conv_id, turn, role, text)."""
+    talks = defaultdict(list)
+    for conv, turn, role, text in rows:
+        talks[conv].append((turn, role, text))
+    out = {}
+    for conv, turns in talks.items():
+        turns.sort(key=lambda t: (t[0] is None, t[0], t[1] is not None, t[1] or "", t[2] is not None, t[2] or ""))
+        loss = "".join(t or "" for _, r, t in turns if r == "assistant")
+        out[conv] = (len(turns), sha("".join(f"{r or ''}\n{t or ''}\n" for _, r, t in turns)), len(loss), sha(loss))
+    return out
