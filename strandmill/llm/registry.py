@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from strandmill.llm import chat, decontam, langid, linededup, media, neardup, packing, quality, substrings, tokencounts
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_near_dedup": neardup.op9_near_dedup,
         "op10_substring_dedup": substrings.op10_substring_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -27,6 +24,5 @@ def oracle_sql() -> dict[str, str]:
     known = {
         "op2_line_dedup": linededup.ORACLE_SQL,
         "op5_decontamination": decontam.ORACLE_SQL,
-        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: sql for name, sql in known.items() if sql}
