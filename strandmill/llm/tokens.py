@@ -4,6 +4,10 @@ The tokenizer splits a text by a fixed pattern and merges bytes within each part
 text are the ids of its parts in order. Parts repeat far more often than texts; each task keeps the ids of
 the parts it has met, in a table that is emptied at a fixed size.
 
+The split's pattern names classes of code points that only the slower engine of ``regex`` knows. For texts below
+U+10000 the same classes are written out as ranges, once in a process, for the engine of ``re``; other texts take the
+slower one. The parts are the same.
+
 The file's added tokens (``<|endoftext|>``) are cut out of a text before that and have ids of their own.
 """
 
@@ -45,6 +49,31 @@ class _Parts(dict):
         return packed
 
 
+def _ranges(name: str) -> str:
+    """The code points below U+10000 of a class of ``regex``, as ranges inside brackets."""
+    inside = regex.compile(name).match
+    held = [c for c in range(0x10000) if inside(chr(c))]
+    starts = [c for c, before in zip(held, [-2, *held]) if c != before + 1]
+    ends = [c for c, after in zip(held, [*held[1:], -2]) if c != after - 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+@functools.lru_cache(maxsize=1)
+def splitter(pattern: str = public_tokenizers.PATTERN):
+    """A function text -> its parts in order, as ``regex.findall`` gives them."""
+    sets = {name: _ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    sets[r"\S"] = f"^{sets[r'\s']}"
+
+    def written(m: re.Match) -> str:
+        if m[0].startswith("["):
+            return re.sub(r"\\p\{\w+\}|\\s", lambda inner: sets[inner[0]], m[0])
+        return f"[{sets[m[0]]}]"
+
+    low = re.compile(re.sub(r"\[[^]]*\]|\\p\{\w+\}|\\[sS]", written, pattern)).findall
+    every, high = regex.compile(pattern).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: every(text) if high(text) else low(text)
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str = BYTE_BPE_50K, added_tokens: bool = False):
     """A function text -> ids as bytes (little-endian, 4 each); null counts as the empty text.
@@ -52,7 +81,7 @@ def encoder(path: str = BYTE_BPE_50K, added_tokens: bool = False):
     With ``added_tokens`` the ids are those of ``encode(text, add_special_tokens=False)``; without, added tokens inside a
     text are ordinary text, as with ``encode_special_tokens``.
     """
-    parts, split = _Parts(path), regex.compile(public_tokenizers.PATTERN).findall
+    parts, split = _Parts(path), splitter()
 
     def encode(text: str | None) -> bytes:
         return b"".join(map(parts.__getitem__, split(text))) if text else b""
