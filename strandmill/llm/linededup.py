@@ -74,6 +74,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), kept.cast("long").alias("n_kept"))
 
 
+def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on raw web pages: hosts from their addresses, lines being what stands between tags."""
+    pages = common.table(spark, sf_dir, "pages")
+    pages = pages.select("page_id", host_of(F.col("url")).alias("host"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    cleaned = drop_boilerplate(pages.withColumn("before", F.col("text")), F.col("host"))
+    n_lines = lambda c: F.size(F.filter(F.split(c, "\n", -1), lambda line: F.trim(line) != "")).cast("long")
+    return cleaned.select("page_id", "host", n_lines("before").alias("n_lines"), n_lines("text").alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 ORACLE_SQL = f"""
 WITH host_pages AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY source),
 lines AS (SELECT DISTINCT doc_id, source, trim(line, ' ') AS line
@@ -90,3 +99,21 @@ SELECT doc_id, n_lines, length(text)::BIGINT AS kept_chars, sha256(text) AS kept
        CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_kept
 FROM cleaned
 """
+
+PAGES_SQL = f"""
+WITH rows AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+                     string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) AS lines FROM pages),
+host_pages AS (SELECT host, count(*) AS n_pages FROM rows GROUP BY host),
+each AS (SELECT r.host, unnest(list_distinct(list_transform(r.lines, lambda x: trim(x, ' ')))) AS line FROM rows r),
+bad AS (SELECT e.host, e.line FROM each e JOIN host_pages h ON h.host IS NOT DISTINCT FROM e.host
+        WHERE e.line <> '' GROUP BY e.host, e.line, h.n_pages
+        HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * h.n_pages),
+sites AS (SELECT host, list(line) AS bad_lines FROM bad GROUP BY host),
+cleaned AS (SELECT r.page_id, r.host, r.lines,
+                   list_filter(r.lines, lambda x: NOT coalesce(list_contains(s.bad_lines, trim(x, ' ')), false)) AS kept
+            FROM rows r LEFT JOIN sites s ON s.host IS NOT DISTINCT FROM r.host)
+SELECT page_id, host, len(list_filter(lines, lambda x: trim(x, ' ') <> ''))::BIGINT AS n_lines,
+       len(list_filter(kept, lambda x: trim(x, ' ') <> ''))::BIGINT AS n_kept,
+       sha256(array_to_string(kept, chr(10))) AS kept_sha256
+FROM cleaned
+"""

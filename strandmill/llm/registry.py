@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_near_dedup": neardup.op9_near_dedup,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "page_line_dedup": linededup.page_line_dedup,
     }
 
 
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     known = {
         "op2_line_dedup": linededup.ORACLE_SQL,
         "op5_decontamination": decontam.ORACLE_SQL,
+        "page_line_dedup": linededup.PAGES_SQL,
     }
     return {name: sql for name, sql in known.items() if sql}

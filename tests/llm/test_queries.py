@@ -19,6 +19,8 @@ from strandmill.llm import chat, common, decontam, langid, linededup, media, nea
 TALKS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b <|im_end|>\n"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 5, "assistant", "</s>"), (2, 5, "assistant", "</s>"),
          (None, 0, "user", "no id"), (None, 1, "assistant", "yes"), (3, None, None, "x"), (3, 0, "a\nb", "[INST]é")]
 
+PAGES = [(1, "https://A.org/x", "<p>menu</p><p>one</p>"), (2, "http://u@a.org:80", " menu <br>two\nmenu"), (3, "http://b.org?q", "menu"), (4, None, "<b>menu</b>"), (5, None, "menu<i></i>"), (6, "a.org", None), (7, "https://a.org#t", "")]
+
 
 def rows():
     return [*corpus(), (None, "no id at all", "en", "s1", 12, "y", 1), (None, None, None, None, None, None, None)]
@@ -34,6 +36,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(rows(), SCHEMA).repartition(3).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(items(), "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
     spark.createDataFrame(TALKS, "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
     return root
 
@@ -41,7 +44,7 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def blank(spark, tables, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("blank"))
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "pages"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{root}/{name}.parquet")
     return root
 
@@ -140,6 +143,15 @@ def test_chat_query(spark, tables):
     assert len(found) == 5 and all(r.formatted_chars > 0 for r in found)
 
 
+def test_page_line_query(spark, tables):
+    """Only repeated lines of one host go: those of the pages without an address, and of a.org."""
+    found = {r.page_id: (r.host, r.n_lines, r.n_kept, r.kept_sha256) for r in query(spark, tables, "page_line_dedup")}
+    assert found == {
+        1: ("a.org", 2, 1, brute.sha("\n\none\n")), 2: ("a.org", 3, 1, brute.sha("two")), 3: ("b.org", 1, 1, brute.sha("menu")),
+        4: (None, 1, 0, brute.sha("\n")), 5: (None, 1, 0, brute.sha("\n")), 6: ("", None, None, None), 7: ("a.org", 0, 0, brute.sha("")),
+    }
+
+
 def test_near_dedup_query(spark, tables):
     found = [r for r in query(spark, tables, "op9_near_dedup") if r.doc_id is not None]
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute.near([(r[0], r[1]) for r in corpus()])
