@@ -152,7 +152,11 @@ def phrases(distinct: DataFrame) -> DataFrame:
     ways = common.stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "ways")
     alone = distinct.where("first < last").join(ways, "anchor", "left_anti").select("anchor", "phrase", "first")
     several = common.stored(common.spread_join(distinct, ways.select("anchor"), "anchor", ways, "left_semi"), "several")
-    windows = common.stored(window_keys(several.select("segment", "first", "last", "phrase")), "windows")
+    # A window takes more room than its share of the text, so tasks are sized by texts, not by files.
+    size = several.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    partitions = max(int(several.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    texts = several.select("segment", "first", "last", "phrase").repartition(partitions, "segment")
+    windows = common.stored(window_keys(texts), "windows")
     known = common.stored(windows.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("w1", "w2", "first"), "recurring")
     firsts = windows.select("segment", "at", "w1", "w2").join(known, ["w1", "w2"]).groupBy("segment").agg(F.collect_list(F.struct("at", "first")).alias("firsts"))
     split = _runs_of(several.select("segment", "anchor", "phrase").join(firsts, "segment").select("anchor", "phrase", "firsts"))
