@@ -118,14 +118,52 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
 
 
+def _read_back(formatted: DataFrame) -> DataFrame:
+    """With turns, their texts as one (``said``) and the text under the loss mask, all read from the output."""
+    out = formatted.withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_spans")))
+    return out.withColumn("said", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE).alias("text"))
-    out = format_chats(chain(talks.unionByName(probe)))
-    out = out.withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_spans")))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select(
-        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+    return _read_back(format_chats(chain(talks.unionByName(probe)))).select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def reply_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of each conversation as a tree in which its i-th message answers the one at i div 2.
+
+    The tables hold linear conversations only; this rule gives each a branch for every other message. A message's score is
+    its length, so branches are ranked by their mean length.
+    """
+    talks = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    parent, length = F.when(F.col("node") > 1, F.floor(F.col("node") / 2)), F.length(F.coalesce("text", F.lit("")))
+    nodes = chain(talks).withColumn("parent", parent).withColumn("score", length.cast("double"))
+    return _read_back(format_chats(nodes, top=2)).select(
+        F.col("tree").alias("conv_id"), F.col("rank").cast("long").alias("branch"), "leaf", "score", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+    )
+
+
+BRANCHES_SQL = """
+WITH RECURSIVE nodes AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS node
+  FROM conversations
+), walk AS (
+  SELECT conv_id, node AS leaf, node FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM nodes) WHERE 2 * node > n
+  UNION ALL SELECT conv_id, leaf, node // 2 FROM walk WHERE node > 1
+), branches AS (
+  SELECT w.conv_id, w.leaf, CAST(sum(length(text)) AS DOUBLE) / count(*) AS score, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY w.node)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars
+  FROM walk w JOIN nodes m ON w.node = m.node AND w.conv_id IS NOT DISTINCT FROM m.conv_id
+  GROUP BY w.conv_id, w.leaf
+)
+SELECT conv_id, branch, leaf, score, n_turns, turns_sha256, loss_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, leaf) AS branch FROM branches) WHERE branch <= 2
+"""

@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_near_dedup": neardup.op9_near_dedup,
         "op10_substring_dedup": substrings.op10_substring_dedup,
         "page_line_dedup": linededup.page_line_dedup,
+        "reply_branches": chat.reply_branches,
     }
 
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": linededup.ORACLE_SQL,
         "op5_decontamination": decontam.ORACLE_SQL,
         "page_line_dedup": linededup.PAGES_SQL,
+        "reply_branches": chat.BRANCHES_SQL,
     }
     return {name: sql for name, sql in known.items() if sql}

@@ -152,6 +152,22 @@ def test_page_line_query(spark, tables):
     }
 
 
+def test_reply_branch_query(spark, tables):
+    """Each conversation's i-th message answers its i div 2; the two branches of greatest mean length, equal ones by leaf."""
+    talks, expected = defaultdict(list), {}
+    for conv, turn, role, text in TALKS:
+        talks[conv].append((turn is None, turn or 0, role or "", text or ""))
+    for conv, said in talks.items():
+        said, ranked = sorted(said), []
+        for leaf in range(len(said) // 2 + 1, len(said) + 1):
+            path = [said[(leaf >> k) - 1][2:] for k in reversed(range(leaf.bit_length()))]
+            ranked.append((-sum(len(t) for _, t in path) / len(path), leaf, path))
+        for i, (score, leaf, path) in enumerate(sorted(ranked)[:2], 1):
+            digest = brute.sha("".join(f"{r}\n{t}\n" for r, t in path))
+            expected[conv, i] = (leaf, -score, len(path), digest, sum(len(t) for r, t in path if r == "assistant"))
+    assert {(r.conv_id, r.branch): (r.leaf, r.score, r.n_turns, r.turns_sha256, r.loss_chars) for r in query(spark, tables, "reply_branches")} == expected
+
+
 def test_near_dedup_query(spark, tables):
     found = [r for r in query(spark, tables, "op9_near_dedup") if r.doc_id is not None]
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute.near([(r[0], r[1]) for r in corpus()])
