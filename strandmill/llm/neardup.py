@@ -156,9 +156,10 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _matches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Stored pairs (a, b) whose full sets have 100 * intersection >= percent * union; a hub's set meets its pairs in parts."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("fa")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("fb"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("fa", "fb")))
+    met = common.spread_join(common.spread_join(pairs, left, "a", _sizes(pairs, "a")), right, "b", _sizes(pairs, "b"))
+    met = met.withColumn("both", F.size(F.array_intersect("fa", "fb")))
     return met.where(100 * F.col("both") >= percent * (F.size("fa") + F.size("fb") - F.col("both"))).select("a", "b")
 
 
@@ -206,7 +207,7 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 8
     hub = F.max(F.struct("weight", -F.col("doc_id"))).alias("hub")
     hubs = large.join(central, "doc_id").groupBy("bucket").agg(hub).select("bucket", (-F.col("hub.col2")).alias("b"))
     stars = common.spread_join(large, hubs, "bucket", sizes).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    found = common.stored(_matches(stars, sets, percent), "stars")
+    found = common.stored(_matches(common.stored(stars, "rays"), sets, percent), "stars")
     labels = None if found.isEmpty() else components(found)
 
     rows = common.stored(_labelled(shared, labels), "labelled")
