@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import chat, decontam, langid, linededup, media, neardup, packing, quality, substrings, tokencounts
+from strandmill.llm import bpe, chat, decontam, langid, linededup, media, neardup, packing, quality, repair, substrings, tokencounts
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_near_dedup": neardup.op9_near_dedup,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op11_bpe": bpe.op11_bpe,
+        "op13_repair": repair.op13_repair,
         "page_line_dedup": linededup.page_line_dedup,
         "reply_branches": chat.reply_branches,
     }
