@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import bpe, chat, decontam, langid, linededup, media, neardup, packing, quality, repair, substrings, tokencounts
+from strandmill.llm import alignment, bpe, chat, decontam, langid, linededup, media, neardup, packing, quality, repair, substrings, tokencounts
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_near_dedup": neardup.op9_near_dedup,
         "op10_substring_dedup": substrings.op10_substring_dedup,
         "op11_bpe": bpe.op11_bpe,
+        "op12_alignment": alignment.op12_alignment,
         "op13_repair": repair.op13_repair,
         "page_line_dedup": linededup.page_line_dedup,
         "reply_branches": chat.reply_branches,
