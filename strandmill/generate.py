@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-l", type=int, default=11)
     parser.add_argument("-d", type=int, default=3)
     parser.add_argument("--seed", default="0")
-    parser.add_argument("out", nargs="?", help="folder of text files; planted_l<l>_d<d>.txt by default")
+    parser.add_argument("out", nargs="?", help="the file; planted_l<l>_d<d>.txt by default")
     a = parser.parse_args(argv)
     if min(a.n, a.m, a.l) <= 0 or a.d < 0:
         print("Error: n, m and l must be > 0 and d must be >= 0.", file=sys.stderr)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import BASES
+from strandmill.sources.reads import write_file
 
 HEX, AS_BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
@@ -61,6 +62,6 @@ def generate(spark: SparkSession, n: int, length: int, l: int, d: int, seed: int
 
 
 def write_planted(rows: DataFrame, path: str) -> None:
-    """Two lines for each read, what was planted and the read, as a folder of text files in order."""
+    """Two lines for each read, what was planted and the read, as one text file in order."""
     said = F.concat(F.col("sid").cast("string"), F.lit(" Motif "), "motif", F.lit(" planted as "), "edited", F.lit(" at position "), F.col("pos").cast("string"))
-    rows.orderBy("sid").select(F.concat(said, F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
+    write_file(rows.orderBy("sid").select(F.concat(said, F.lit("\n"), "seq").alias("value")), path)

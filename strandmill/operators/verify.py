@@ -1,7 +1,9 @@
-"""Supports of given candidates, for words that are too long to enumerate.
+"""Supports of given candidates.
 
-A substring within d edits of a word holds one of the word's d + 1 pieces unchanged, near the piece's own place. So
-reads meet candidates in an equality join on pieces, and only the substrings around a met piece are compared.
+Words of up to 31 bases are compared with all reads in one walk over their common prefixes. Longer words, and those with
+other letters, are met by pieces: a substring within d edits of a word holds one of the word's d + 1 pieces unchanged,
+near the piece's own place, so reads meet candidates in an equality join on pieces, and only the substrings around a met
+piece are compared.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import substrings
+from strandmill.operators import walk
 from strandmill.operators.neighbours import dealt
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def _pieces(l: int, d: int) -> list[tuple[int, int]]:  # noqa: E741
@@ -27,12 +30,20 @@ def supports(candidates: DataFrame, reads: DataFrame, l: int, d: int) -> DataFra
     Every row of reads is one read. Where l <= d the empty substring is within d edits of any word.
     """
     words = candidates.select("w").where(F.length("w") == l).distinct()
-    own = dealt(reads)
     if l <= d:
-        return words.crossJoin(own.agg(F.count(F.lit(1)).alias("n_reads"))).where("n_reads > 0")
+        return words.crossJoin(dealt(reads).agg(F.count(F.lit(1)).alias("n_reads"))).where("n_reads > 0")
+    if not walk.fits(l, d):
+        return _by_pieces(words, reads, l, d)
+    plain = F.col("w").rlike("^[ACGT]*$")
+    odd, found = words.where(~plain), walk.given_supports(words.where(plain), reads, l, d)
+    return found if odd.isEmpty() else found.unionByName(_by_pieces(odd, reads, l, d))
+
+
+def _by_pieces(words: DataFrame, reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
+    own = dealt(reads)
     pieces = F.array(*(F.struct(F.lit(a).alias("start"), F.substring("w", a + 1, n).alias("piece")) for a, n in _pieces(l, d)))
     known = words.select("w", F.explode(pieces).alias("p")).select("w", "p.start", "p.piece")
-    if words.count() * (d + 1) <= BROADCAST_ROWS:
+    if words.count() * (d + 1) * (2 * l + 64) <= BROADCAST_BYTES:
         known = F.broadcast(known)
     sizes = {n for _, n in _pieces(l, d)}
     at = F.posexplode(F.concat(*(F.transform(substrings(F.col("seq"), n, n), lambda x, i: F.struct(i.alias("at"), x.alias("piece"))) for n in sorted(sizes))))

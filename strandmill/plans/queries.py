@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequence as S
-from strandmill.operators import collapsed, neighbours, planted, verify
-from strandmill.plans.motif import MotifQuery
+from strandmill.operators import collapsed, neighbours, patterns, planted, verify, walk
+from strandmill.operators.incremental import SupportTable
+from strandmill.plans.motif import MotifQuery, search_files
 from strandmill.sources import reads as R
 
 L, D = 5, 1
@@ -202,8 +203,7 @@ def result_sink(spark, sf_dir):
     """Motifs of all key reads, written as lines and read again with their places."""
     path = R.shared_folder(spark, "motifs")
     R.write_motifs(MotifQuery(L, D, Decimal("0.2")).run(key_reads(spark, sf_dir), WORD), path)
-    lines = R.lines(spark, path)
-    return lines.select(F.row_number().over(Window.orderBy("file", "line_no")).cast("long").alias("place"), F.col("raw").alias("line"))
+    return R.lines(spark, path).select((F.col("line_no") + 1).cast("long").alias("place"), F.col("raw").alias("line"))
 
 
 def verify_candidates(spark, sf_dir):
@@ -212,6 +212,52 @@ def verify_candidates(spark, sf_dir):
     return verify.supports(words, key_reads(spark, sf_dir), 16, 3).withColumnRenamed("w", "motif")
 
 
+def best_distance(spark, sf_dir):
+    """Words of 10 bases, made from the names of nations, in all key reads: the least distance up to 3, and where it first ends."""
+    words = [r.w for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.substring(planted.random_bases(F.col("n_name")), 1, 10).alias("w")).distinct().collect()]
+    return walk.best_distances(key_reads(spark, sf_dir), words, 3)
+
+
+def file_motifs(spark, sf_dir):
+    """Motifs of the files of all nations at once, near half of a file's reads; a file's l is 4 or 5 and its d 0 or 1, as its name says."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_custkey", planted.random_bases(F.col("c_custkey")).alias("seq"))
+    header = F.concat(F.lit("> "), F.col("c_custkey").cast("string"), F.lit(" Motif "), F.substring("seq", 1, 5), F.lit(" planted as ACGT at position 3"))
+    name = F.concat(F.lit("nation_"), "c_nationkey", F.lit("_l"), 4 + F.col("c_nationkey") % 2, F.lit("_d"), F.floor(F.col("c_nationkey") / 2).cast("int") % 2)
+    path = R.shared_folder(spark, "named")
+    rows = people.select(name.alias("set"), "c_custkey", F.concat(header, F.lit("\n"), "seq").alias("value"))
+    rows.repartition("set").sortWithinPartitions("set", "c_custkey").select("set", "value").write.partitionBy("set").text(path)
+    found = search_files(R.lines(spark, path), Decimal("0.5"))
+    return found.select(F.regexp_extract("file", r"nation_(\d+)_", 1).cast("long").alias("nation"), "l", "d", "reads", "motif", "n_reads", "distance")
+
+
+def pattern_neighbourhood(spark, sf_dir):
+    """Patterns of one edit, from all substrings of 4 to 6 bases of the key reads, and of how many words each comes."""
+    words = neighbours.kmers(key_reads(spark, sf_dir), L, 1).select("x").distinct()
+    return patterns.neighbourhood(words, L, 1).groupBy(patterns.to_text(F.col("p")).alias("pattern")).agg(_count("n_words"))
+
+
+def pattern_words(spark, sf_dir):
+    """The words that patterns of two edits stand for: the rows of neighborhood_d2."""
+    words = neighbours.kmers(key_reads(spark, sf_dir), L, 2).select("x").distinct()
+    return patterns.expanded(patterns.neighbourhood(words, L, 2), L, "x").groupBy("w").agg(_count("n_words"))
+
+
+def pattern_intersect(spark, sf_dir):
+    """Words of 9 bases near reads of suppliers and near reads of nations, by the patterns of both."""
+    of = lambda table, key: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("sid"), planted.random_bases(F.col(key)).alias("seq"))
+    near = [patterns.neighbourhood(neighbours.kmers(of(*t), 9, 1).select("x").distinct(), 9, 1).select("p").distinct() for t in (("supplier", "s_suppkey"), ("nation", "n_name"))]
+    return patterns.expanded(patterns.intersection(*near, 9, 1), 9)
+
+
+def incremental_supports(spark, sf_dir):
+    """Supports at (5, 1) of all key reads, which come in three batches; the second comes twice."""
+    reads, table = key_reads(spark, sf_dir), SupportTable(spark, R.shared_folder(spark, "supports"), L, 1)
+    part = F.coalesce(F.col("sid") % 3, F.lit(0))
+    for batch in (1, 2, 2, 3):
+        table.add(batch, reads.where(part == batch - 1))
+    return table.supports().select(F.col("w").alias("motif"), "n_reads")
+
+
 def queries() -> dict:
     return {
         "motif_quorum": _exact(L, 1, 0.9, text_reads, "auto"),
@@ -228,6 +274,9 @@ def queries() -> dict:
         "planted_generate": planted_generate, "planted_motifs": planted_motifs,
         "decode_motif": decode_motif, "mask_bits": mask_bits, "read_file": read_file, "file_consensus": file_consensus,
         "result_sink": result_sink, "verify_candidates": verify_candidates,
+        "walk_motifs": _exact(L, 1, 0.2, key_reads, "walk"), "frontier_motifs": _exact(L, 2, Decimal("0.99"), key_reads, "walk"),
+        "best_distance": best_distance, "file_motifs": file_motifs, "incremental_supports": incremental_supports,
+        "pattern_neighbourhood": pattern_neighbourhood, "pattern_words": pattern_words, "pattern_intersect": pattern_intersect,
     }
 
 
@@ -318,6 +367,30 @@ SELECT w AS motif, count(*) AS n_reads, CAST(levenshtein(w, '{LONG_WORD}') AS BI
 _PEOPLE = "people AS (SELECT c_nationkey::BIGINT AS nation, c_custkey, translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)"
 
 
+_FILES = f"""WITH {_PEOPLE}, own AS (SELECT nation, seq, i, CAST(4 + nation % 2 AS INTEGER) AS l, CAST((nation // 2) % 2 AS INTEGER) AS d FROM people),
+kmers AS (SELECT DISTINCT nation, i, l, d, substr(seq, CAST(s AS INTEGER), CAST(k AS INTEGER)) AS x FROM own, range(3, 7) AS r(k), range(1, 33) AS q(s) WHERE s + k <= 33 AND k BETWEEN l - d AND l + d),
+universe AS (SELECT unnest([w, substr(w, 1, 4)]) AS w FROM (SELECT b0.b || b1.b || b2.b || b3.b || b4.b AS w FROM {", ".join(f"(VALUES ('A'), ('C'), ('G'), ('T')) AS b{i}(b)" for i in range(5))})),
+near AS (SELECT w, x, l, d FROM (SELECT DISTINCT w FROM universe), (SELECT DISTINCT x, l, d FROM kmers) WHERE length(w) = l AND levenshtein(w, x) <= d),
+totals AS (SELECT nation, count(*) AS reads, max(CASE WHEN i = 1 THEN substr(seq, 1, 5) END) AS consensus FROM own GROUP BY nation)
+SELECT nation, l, d, reads, w AS motif, count(DISTINCT i) AS n_reads, CASE WHEN any_value(length(consensus)) = l THEN levenshtein(w, any_value(consensus)) END AS distance
+FROM kmers JOIN near USING (x, l, d) JOIN totals USING (nation) GROUP BY nation, l, d, reads, w HAVING count(DISTINCT i) >= ceil(0.5 * reads)"""
+
+_BEST = f"""WITH reads AS ({_KEYS}), words AS (SELECT DISTINCT substr(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 10) AS word FROM nation),
+subs AS (SELECT sid, i + k - 1 AS "end", substr(seq, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS x FROM reads, range(7, 14) AS r(k), range(1, 33) AS q(i) WHERE i + k <= 33),
+found AS (SELECT sid, word, levenshtein(word, x) AS distance, "end" FROM subs, words WHERE levenshtein(word, x) <= 3)
+SELECT sid, word, CAST(distance AS BIGINT) AS distance, "end" FROM found QUALIFY row_number() OVER (PARTITION BY sid, word ORDER BY distance, "end") = 1"""
+
+_ONE_EDIT = """SELECT x, substr(x, 1, CAST(i AS INTEGER) - 1) || substr(x, CAST(i AS INTEGER) + 1) AS p FROM words, range(1, 20) AS r(i) WHERE length(x) = {l} + 1 AND i <= length(x)
+UNION SELECT x, substr(x, 1, CAST(i AS INTEGER) - 1) || '*' || substr(x, CAST(i AS INTEGER) + 1) FROM words, range(1, 20) AS r(i) WHERE length(x) = {l} AND i <= length(x)
+UNION SELECT x, substr(x, 1, CAST(i AS INTEGER)) || '*' || substr(x, CAST(i AS INTEGER) + 1) FROM words, range(0, 20) AS r(i) WHERE length(x) = {l} - 1 AND i <= length(x)"""
+_PATTERNS = f"{_sql_kmers(_KEYS, L - 1, L + 1)}, words AS (SELECT DISTINCT x FROM kmers), made AS ({_ONE_EDIT.format(l=L)}) SELECT p AS pattern, count(*) AS n_words FROM made GROUP BY p"
+
+
+def _sql_near9(table: str, key: str) -> str:
+    reads = f"SELECT {key} AS sid, translate(md5(CAST({key} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM {table}"
+    return f"({_sql_kmers(reads, 8, 10)}, words AS (SELECT DISTINCT x FROM kmers), made AS ({_ONE_EDIT.format(l=9)}) SELECT DISTINCT replace(p, '*', b) AS w FROM made, {_BASES})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "motif_quorum": _sql_exact(L, 1, 0.9, _TEXT),
@@ -349,5 +422,10 @@ def oracle_sql() -> dict[str, str]:
         "file_consensus": f"WITH {_PEOPLE} SELECT nation, substr(seq, 1, 8) AS consensus FROM people WHERE i = 1",
         "result_sink": f"{_sql_supports(L, D, _KEYS)} SELECT row_number() OVER (ORDER BY w) AS place, w || chr(9) || 'Distance: ' || levenshtein(w, '{WORD}') AS line FROM supports WHERE n_reads >= ceil(0.2 * (SELECT count(*) FROM reads))",
         "verify_candidates": f"{_sql_kmers(_KEYS, 13, 19)}, words AS (SELECT DISTINCT substr(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16) AS w FROM nation) SELECT w AS motif, count(DISTINCT sid) AS n_reads FROM words, kmers WHERE levenshtein(w, x) <= 3 GROUP BY w",
+        "walk_motifs": _sql_exact(L, 1, 0.2, _KEYS), "frontier_motifs": _sql_exact(L, 2, 0.99, _KEYS),
+        "best_distance": _BEST, "file_motifs": _FILES,
+        "incremental_supports": f"{_sql_supports(L, 1, _KEYS)} SELECT w AS motif, n_reads FROM supports",
+        "pattern_neighbourhood": _PATTERNS, "pattern_words": _sql_neighbourhood(2),
+        "pattern_intersect": f"SELECT w FROM {_sql_near9('supplier', 's_suppkey')} INTERSECT SELECT w FROM {_sql_near9('nation', 'n_name')}",
         "plan_enumeration": f"WITH reads AS ({_KEYS}), plans AS (SELECT q, p AS deletions, 2 - 2 * p + q AS substitutions, p - q AS insertions FROM range(-2, 3) AS r(q), range(0, 3) AS s(p) WHERE p >= greatest(0, q) AND 2 * p <= 2 + q) SELECT q, deletions, substitutions, insertions, CAST(sum(greatest(0, length(seq) - {L} - q + 1)) AS BIGINT) AS n_words FROM plans, reads GROUP BY ALL",
     }

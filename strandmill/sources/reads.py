@@ -14,6 +14,8 @@ from strandmill.functions.sequence import encoded, normalised
 HEADER = r"Motif\s+([ACGTacgt]+)\s+planted"
 PLANTED = r"Motif\s+([ACGTacgt]+)\s+planted\s+as\s+([ACGTacgt]*)\s+at\s+position\s+(\d+)"
 
+SMALL_SPLITS = 10_000  # of about 200 bytes each
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, raw) of every line, numbered from 0 in each file.
@@ -25,6 +27,9 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = rows.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    blocks = stored(blocks, "splits")
+    if blocks.count() <= SMALL_SPLITS:  # the numbers go to the lines, which then stay where they are
+        blocks = F.broadcast(blocks)
     return rows.join(blocks, ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("line_no"), "raw")
 
 
@@ -55,10 +60,55 @@ def result_path(path: str, name: str, l: int, d: int) -> str:  # noqa: E741
     return f"{folder or '.'}/output/out_{file.rsplit('.', 1)[0] if '.' in file else file}_{name}_l{l}_d{d}.txt"
 
 
-def write_motifs(motifs: DataFrame, path: str) -> None:
-    """Lines ``MOTIF<TAB>Distance: N|N/A`` sorted by motif, as a folder of text files in order."""
+def result_lines(motifs: DataFrame) -> DataFrame:
+    """Lines ``MOTIF<TAB>Distance: N|N/A`` sorted by motif."""
     line = F.concat("motif", F.lit("\tDistance: "), F.coalesce(F.col("distance").cast("string"), F.lit("N/A")))
-    motifs.orderBy("motif").select(line.alias("value")).write.mode("overwrite").text(path)
+    return motifs.orderBy("motif").select(line.alias("value"))
+
+
+def write_motifs(motifs: DataFrame, path: str) -> None:
+    """``result_lines`` as one text file, which replaces what the path held, whole or not at all."""
+    write_file(result_lines(motifs), path)
+
+
+def write_file(lines: DataFrame, path: str) -> None:
+    """Lines (value) as one file. Tasks write sorted parts side by side; their bytes are then joined by the file system's streams
+    under a hidden name, and a rename puts the file in its place. A broken run leaves the file that was there."""
+    spark, (folder, _, name) = lines.sparkSession, path.rpartition("/")
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsparkSession.sessionState().newHadoopConf()
+    fresh = f"{folder or '.'}/.{name}-{uuid.uuid4().hex}"
+    parts, joined, target = (hadoop.fs.Path(p) for p in (f"{fresh}-parts", fresh, path))
+    fs = target.getFileSystem(conf)
+    try:
+        lines.write.text(f"{fresh}-parts")
+        out = fs.create(joined, True)
+        try:
+            for name in sorted(s.getPath().getName() for s in fs.listStatus(parts)):
+                if name.startswith("part-"):
+                    part = fs.open(hadoop.fs.Path(parts, name))
+                    hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                    part.close()
+        finally:
+            out.close()
+        how = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+        how[0] = hadoop.fs.Options.Rename.OVERWRITE
+        hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(joined), fs.makeQualified(target), how)
+    finally:
+        fs.delete(parts, True)
+        fs.delete(joined, False)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
+def read_small_file(spark: SparkSession, path: str) -> str:
+    """The text of a file of a few lines; empty where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return "\n".join(r.value for r in spark.read.text(path).collect()) if fs.exists(where) else ""
 
 
 def max_rss_kb() -> int:
@@ -82,3 +132,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and outlives a lost executor."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
