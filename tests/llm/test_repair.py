@@ -117,5 +117,9 @@ def test_operator_gives_rows(spark):
     for r in found.repaired.orderBy("place", "sub").collect():
         fixed.setdefault(r.conv, []).append((r.role, r.text))
     assert fixed == {"a": [("user", "Hi."), ("assistant", "Well.")]}
-    assert {(r.conv, r.letters, r.cost) for r in found.edits.collect()} == {("a", "KR", 1), ("b", "D", 2), (None, "D", 2)}
+    done = {}
+    for r in found.edits.orderBy("block").collect():  # a conversation may lie in two blocks
+        letters, cost = done.get(r.conv, ("", 0))
+        done[r.conv] = (letters + r.letters, cost + r.cost)
+    assert done == {"a": ("KR", 1), "b": ("D", 2), None: ("D", 2)}
     assert repair.repair(rows.limit(0), "conv").repaired.collect() == []
