@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
     known = {
         "op2_line_dedup": linededup.ORACLE_SQL,
         "op5_decontamination": decontam.ORACLE_SQL,
+        "op13_repair": repair.ORACLE_SQL,
         "page_line_dedup": linededup.PAGES_SQL,
         "reply_branches": chat.BRANCHES_SQL,
     }

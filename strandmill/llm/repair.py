@@ -370,3 +370,60 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     longs = ("gaps", *FAULTS, "illegal", "cost")
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in longs), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
+def _sql_edit(letter: str, cost: str, rest: str, said: str = "") -> str:
+    return f"{{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a, 's': {f'list_prepend({said}, {rest}.s)' if said else f'{rest}.s'}}}"
+
+
+def _oracle_sql() -> str:
+    """The same from the definition: rows from the last to the first, with the cheapest (cost, audit, repaired rows) from each state."""
+    never, done = "{'c': 1000000000, 'a': '', 's': []::VARCHAR[]}", "{'c': 0, 'a': '', 's': []::VARCHAR[]}"
+    user, assistant = (lambda rest, r=r: _sql_edit("I", "5", rest, f"'{r}:'") for r in ("user", "assistant"))
+    keep = lambda rest: _sql_edit("K", "more", rest, "role || ':' || text")
+    rerole = lambda rest, r: _sql_edit("R", "1 + more", rest, f"'{r}:' || text")
+    delete = lambda rest: _sql_edit("D", "2", rest)
+
+    def step(own: str, to: str, turn: str, also: str = "") -> str:
+        ways = [delete(own), *([f"CASE WHEN alive AND kind = 's' THEN {keep(also)} ELSE {never} END"] if also else [])]
+        ways += [f"CASE WHEN alive AND kind = '{turn[0]}' THEN {keep(to)} ELSE {never} END", f"CASE WHEN alive THEN {rerole(to, turn)} ELSE {never} END"]
+        return f"least({', '.join(ways)})"
+
+    closed = f"""SELECT * EXCLUDE (w0, w1, w2, w3, x2, x3), least(w0, {user("x2")}) AS v0, least(w1, {user("x2")}) AS v1, least(w2, {assistant("x3")}) AS v2, least(w3, {user("x2")}) AS v3
+      FROM (SELECT *, least(w2, {assistant("w3")}) AS x2, least(w3, {user("w2")}) AS x3 FROM %s)"""
+    bits = "list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, xor(crc, byte))"
+    return f"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT), lambda crc, byte: {bits}, 4294967295), 4294967295) % 20 AS h
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE h <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS kind, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    kind || lead(kind) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+  FROM numbered
+), marked AS (
+  SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, fault IS NULL OR fault = 'truncated' AS alive FROM faults
+), walk AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, {done} AS w0, {never} AS w1, {never} AS w2, {done} AS w3 FROM marked
+  UNION ALL
+  SELECT conv_id, i, {step("v0", "v2", "user", "v1")}, {step("v1", "v2", "user")}, {step("v2", "v3", "assistant")}, {step("v3", "v2", "user")}
+  FROM ({closed % "(SELECT m.conv_id, m.i, role, text, kind, more, alive, w0, w1, w2, w3 FROM walk JOIN marked m ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND m.i = walk.i - 1)"})
+), best AS (
+  SELECT conv_id, v0.c AS cost, v0.a AS audit, sha256(array_to_string(v0.s, chr(10))) AS repaired_sha256 FROM ({closed % "walk"}) WHERE i = 1
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+)
+SELECT c.conv_id, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("gaps", *FAULTS, "illegal", "cost"))}, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -7,6 +7,7 @@ import re
 import sys
 import zlib
 
+import duckdb
 import pytest
 
 from strandmill.llm import repair
@@ -101,6 +102,15 @@ def test_query_matches_the_plain_version(spark, table, batch):
     assert found == plain(talks())
 
 
+def test_sql_matches_the_plain_version(table):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{table}/conversations.parquet/*.parquet' WHERE conv_id IS NULL OR conv_id < 1000 OR conv_id > 1002")
+    found = con.sql(repair.ORACLE_SQL)
+    at = [found.columns.index(c) for c in ("conv_id", *FIELDS)]
+    expected = plain([r for r in talks() if r[0] is None or r[0] < 1000 or r[0] > 1002])
+    assert {r[at[0]]: tuple(r[i] for i in at[1:]) for r in found.fetchall()} == expected
+
+
 def test_powers_are_repeated_steps():
     for symbol in range(9):
         by_steps = repair.power(symbol, 0)
