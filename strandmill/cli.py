@@ -48,6 +48,8 @@ def session(tasks: int | None) -> SparkSession:
         builder = builder.master(f"local[{tasks or '*'}]")
     if tasks:
         builder = builder.config("spark.sql.shuffle.partitions", tasks)
+    if SparkSession.getActiveSession() is None:
+        builder = builder.config(map={k: v for k, v in R.WATCHED.items() if SparkConf().get(k, None) is None})
     spark = builder.getOrCreate()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(R.shared_folder(spark, "rounds"))

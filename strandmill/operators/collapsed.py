@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.sequence import substrings
+from strandmill.functions.sequence import encoded, substrings
 
 
 def _plans(l: int, d: int) -> list[tuple[int, int, int, int]]:  # noqa: E741
@@ -33,39 +33,65 @@ def _with_a(x: Column, insert: bool) -> Column:
     return F.transform(places, lambda i: F.concat(F.substring(x, F.lit(1), i if insert else i - 1), F.lit("A"), F.substring(x, i + 1, F.length(x))))
 
 
+def _tagged(plan: int):
+    return lambda x: F.struct(F.lit(plan).alias("plan"), x.alias("word"))
+
+
+def _without(drop: int):
+    return lambda x: F.substring(x, F.lit(drop + 1), F.length(x))
+
+
+def _each_with_a(insert: bool):
+    return lambda w: F.when(F.length(w) > 0, _with_a(w, insert)).otherwise(F.array(F.lit("A")) if insert else F.array().cast("array<string>"))
+
+
+def _ordered(reads: DataFrame) -> DataFrame:
+    """(read, sid, seq): every row is one read; reads are ordered by sid (null first), those of one sid as the source is scanned."""
+    seq = encoded(F.coalesce("seq", F.lit("")))
+    return reads.select(F.struct("sid", F.monotonically_increasing_id().alias("at")).alias("read"), "sid", seq.alias("seq"))
+
+
 def candidates(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
-    """(sid, w), each once."""
-    parts = []
-    for q, drop, subs, adds in _plans(l, d):
-        words = reads.select("sid", F.explode(substrings(F.col("seq"), l + q, l + q)).alias("x")).distinct()
-        words = words.select("sid", F.substring("x", F.lit(drop + 1), F.length("x")).alias("w")).where(F.length("w") + adds == l)
-        for _ in range(subs):  # setting a place twice is allowed: up to subs places
-            words = words.where(F.length("w") > 0).select("sid", F.explode(_with_a(F.col("w"), False)).alias("w")).distinct()
-        for _ in range(adds):
-            words = words.select("sid", F.explode(_with_a(F.col("w"), True)).alias("w")).distinct()
-        parts.append(words)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.distinct()
+    """(read, sid, w), each w once for each read.
+
+    Reads are dealt once, before they grow. A word's candidates are one array, made where the word stands; what is made
+    distinct for a read stays in its task.
+    """
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plans, words, made = _plans(l, d), [], F.array().cast("array<string>")
+    for i, (q, drop, subs, adds) in enumerate(plans):
+        own = F.array_distinct(F.transform(substrings(F.col("seq"), l + q, l + q), _without(drop)))
+        words.append(F.transform(own, _tagged(i)))
+        made = F.when(F.col("x.plan") == i, _made(F.col("x.word"), subs, adds)).otherwise(made)
+    own = _ordered(reads).repartition(n, "read").select("read", "sid", F.explode(F.concat(*words)).alias("x"))
+    return own.select("read", "sid", F.explode(made).alias("w")).distinct()
+
+
+def _made(x: Column, subs: int, adds: int) -> Column:
+    """All words of one word: up to ``subs`` places set to A, one at least if any (setting a place twice is allowed), and ``adds`` As put in."""
+    words = F.array(x)
+    for insert in [False] * subs + [True] * adds:
+        words = F.array_distinct(F.flatten(F.transform(words, _each_with_a(insert))))
+    return words
 
 
 def fold(found: DataFrame, reads: DataFrame) -> DataFrame:
-    """(w): the running set after all reads, in order of sid.
+    """(w): the running set after all reads, in order; ``found`` are the candidates of ``reads``.
 
     A round finds the next read that would change the set and intersects with it; reads that hold all of the set or
     none of it are passed over together. The set only shrinks, so there are fewer rounds than the first read has
     candidates, however many reads there are. Rounds come one after the other, as the variant's order of reads asks; all
     reads take part in each at once.
     """
-    first = reads.agg(F.min("sid")).first()[0]
-    running, at = found.where(F.col("sid") == first).select("w"), first
+    least = _ordered(reads).agg(F.min("read").alias("read")).select("read").where("read IS NOT NULL")
+    running, at = found.join(F.broadcast(least), "read", "left_semi").select("w"), least
     while True:
         running = running.checkpoint()
         size = running.count()
-        later = found.where(F.col("sid") > at).join(running, "w").groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-        step = later.where(F.col("n") < size).agg(F.min("sid")).first()[0]
-        if not size or step is None:
+        at = F.broadcast(at.select(F.col("read").alias("at")))
+        later = found.join(at, F.col("read") > F.col("at")).drop("at").join(running, "w").groupBy("read").agg(F.count(F.lit(1)).alias("n"))
+        step = later.where(F.col("n") < size).agg(F.min("read").alias("read")).where("read IS NOT NULL").checkpoint()
+        if not size or step.isEmpty():
             return running
-        running = running.join(found.where(F.col("sid") == step).select("w"), "w", "left_semi")
+        running = running.join(found.join(F.broadcast(step), "read", "left_semi").select("w"), "w", "left_semi")
         at = step

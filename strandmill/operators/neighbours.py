@@ -1,8 +1,8 @@
 """K-mers, edits and edit neighbourhoods as DataFrame operators.
 
-Neighbourhoods are made once for each distinct k-mer, not for each read: there are at most 4^k of them, however many
-reads there are. A layer adds one edit and is made distinct before the next; words that can no longer reach the
-wanted length are dropped before they are expanded.
+Neighbourhoods of words of up to 31 bases come from the distance automaton of each word. Where few different words can
+occur, and for longer words, they are made in layers, once for each distinct k-mer: a layer adds one edit and is made
+distinct before the next; words that can no longer reach the wanted length are dropped before they are expanded.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.sequence import BASES, encoded, pack_with_length, substrings, unpack_with_length
+from strandmill.functions.sequence import BASES, encoded, pack_with_length, substrings, unpack, unpack_with_length
+from strandmill.operators import automaton
 
 LONGEST = 31  # bases that a BIGINT holds with their number
 BROADCAST_ROWS = 1 << 20  # pairs of packed words, 16 bytes each
@@ -46,15 +47,14 @@ def neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     """(x, w): all words w of length l within d edits of the distinct words x."""
     if l + d > LONGEST:
         return _neighbourhood_of_text(words, l, d)
-    near = packed_neighbourhood(words.where((F.length("x") > 0) & (F.abs(F.length("x") - l) <= d)).select(pack_with_length(F.col("x")).alias("x")), l, d)
-    return near.select(unpack_with_length(F.col("x")).alias("x"), unpack_with_length(F.col("w")).alias("w"))
+    return automaton.neighbourhood(words, l, d).select("x", unpack(F.col("code"), F.lit(l)).alias("w"))
 
 
-def packed_neighbourhood(words: DataFrame, l: int, d: int, of: str = "x") -> DataFrame:  # noqa: E741
-    """As ``neighbourhood``, for words x packed with their lengths, 1 to l + d bases each; the words near each ``of``."""
-    layer = words.select(of, F.col("x").alias("w"))
+def packed_neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
+    """As ``neighbourhood``, in layers, for words x packed with their lengths, 1 to l + d bases each."""
+    layer = words.select("x", F.col("x").alias("w"))
     for left in range(d - 1, -1, -1):
-        layer = layer.select(of, F.explode(_packed_edits(F.col("w"), l, left)).alias("w")).distinct()
+        layer = layer.select("x", F.explode(_packed_edits(F.col("w"), l, left)).alias("w")).distinct()
     return layer if d else layer.where((F.col("w") >= 4**l) & (F.col("w") < 2 * 4**l))
 
 
@@ -113,19 +113,19 @@ def supports(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
 
     Reads are dealt by number before they grow, so whatever is made distinct for a read needs no shuffle; only counts by
     word are shuffled, added up before. Where all words there can be and their neighbourhoods are few (short words, that
-    many reads share), these are made once and broadcast; otherwise each read's words are edited in place.
+    many reads share), these are made once and broadcast; otherwise each read's words are walked in place.
     """
-    own = own_words(dealt(reads), l, d)
     if l + d > LONGEST:
+        own = own_words(dealt(reads), l, d)
         near = neighbourhood(own.select("x").distinct(), l, d)
         return own.join(near, "x").select("read", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n_reads"))
-    own = own.select("read", pack_with_length(F.col("x")).alias("x"))
     if _most_words(l, d) * most_near(l, d) <= BROADCAST_ROWS:
+        own = own_words(dealt(reads), l, d).select("read", pack_with_length(F.col("x")).alias("x"))
         near = packed_neighbourhood(own.select("x").distinct(), l, d)
         found = own.join(F.broadcast(near), "x").select("read", "w").distinct()
-    else:
-        found = packed_neighbourhood(own, l, d, "read").select("read", "w")
-    return found.groupBy("w").agg(F.count(F.lit(1)).alias("n_reads")).select(unpack_with_length(F.col("w")).alias("w"), "n_reads")
+        return found.groupBy("w").agg(F.count(F.lit(1)).alias("n_reads")).select(unpack_with_length(F.col("w")).alias("w"), "n_reads")
+    counts = automaton.read_words(dealt(reads), l, d).groupBy("code").agg(F.count(F.lit(1)).alias("n_reads"))
+    return counts.select(unpack(F.col("code"), F.lit(l)).alias("w"), "n_reads")
 
 
 def _most_words(l: int, d: int) -> int:  # noqa: E741

@@ -58,22 +58,15 @@ class Block:
     """Reads as numbers: for each base, the places of a segment that hold it."""
 
     def __init__(self, seqs: list[str], l: int, d: int):  # noqa: E741
-        step, bits, owner, offset = SPAN + 1 - l - d, [], [], []
-        places = np.arange(SPAN)
-        for i, seq in enumerate(seqs):
-            if not seq:
-                continue
-            codes = np.searchsorted(np.frombuffer(BASES.encode(), np.uint8), np.frombuffer(seq.encode(), np.uint8))
-            n = segments(len(codes), l, d)
-            padded = np.full((n - 1) * step + SPAN, 4, np.uint8)
-            padded[: len(codes)] = codes[: len(padded)]
-            starts = np.arange(n) * step
-            bits.append(padded[starts[:, None] + places])
-            owner.append(np.full(n, i))
-            offset.append(starts)
-        cells = np.concatenate(bits) if bits else np.zeros((0, SPAN), np.uint8)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offset) if offset else np.zeros(0, np.int64)
+        step, text = SPAN + 1 - l - d, np.frombuffer("".join(seqs).encode(), np.uint8)
+        length = np.array([len(s) for s in seqs], np.int64)
+        count = np.where(length > 0, 1 + np.maximum(0, -(-(length - SPAN) // step)), 0)
+        self.owner = np.repeat(np.arange(len(seqs)), count)
+        self.offset = (np.arange(len(self.owner)) - np.repeat(count.cumsum() - count, count)) * step
+        places = (np.repeat(length.cumsum() - length, count) + self.offset)[:, None] + np.arange(SPAN)
+        inside = np.arange(SPAN) < (length[self.owner] - self.offset)[:, None]
+        codes = np.append(np.searchsorted(np.frombuffer(BASES.encode(), np.uint8), text), 4)
+        cells = np.where(inside, codes[np.minimum(places, len(text))], 4)
         self.masks = np.stack([self._numbers(cells == c) for c in range(4)])
         self.valid = self._numbers(cells < 4)
         self.starts = np.flatnonzero(np.diff(self.owner, prepend=-1))
@@ -222,13 +215,13 @@ def blocks(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def _sharded(made: DataFrame, depth: int, cores: int) -> DataFrame:
-    """Each block for each prefix of ``depth`` bases (of all but one base of a shorter word), dealt evenly."""
+def _sharded(made: DataFrame, depth: int, cores: int, tasks: int) -> DataFrame:
+    """Each block for each prefix of ``depth`` bases (of all but one base of a shorter word); dealt evenly, unless the reads' own tasks are enough."""
     made = made.withColumn("depth", F.least(F.lit(depth), F.col("l") - 1))
-    if not depth:
+    if not depth and tasks >= cores:
         return made.withColumn("shard", F.lit(0).cast("long"))
     last = F.expr("shiftleft(1L, 2 * depth)") - 1
-    return made.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(min(4**depth, 16 * cores))
+    return made.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(max(4 * cores, tasks))
 
 
 def letters(codes: np.ndarray, l: int) -> pa.Array:  # noqa: E741
@@ -287,8 +280,8 @@ class Size:
         return self.reads * segments(self.bases / max(1, self.reads), l, d)
 
     def depth(self, l: int, d: int, cores: int) -> int:  # noqa: E741
-        """How many bases the prefixes of shards have, so that all cores have some cells."""
-        cells = max(1, min(self.tasks, -(-self.segments(l, d) // BLOCK)))
+        """How many bases the prefixes of shards have, so that all cores have some cells of the grid."""
+        cells = max(1, -(-self.segments(l, d) // BLOCK))
         return min(l - 1, next(k for k in range(32) if cells * 4**k >= 4 * cores))
 
 
@@ -313,7 +306,7 @@ def _words(found: DataFrame, *by: str) -> DataFrame:
 def supports(reads: DataFrame, l: int, d: int, size: Size | None = None) -> DataFrame:  # noqa: E741
     """(w, n_reads): in how many reads each word of length l has a substring within d edits."""
     size, cores = size or measured(reads), reads.sparkSession.sparkContext.defaultParallelism
-    return _words(_counts(_sharded(blocks(_reads(reads, l, d)), size.depth(l, d, cores), cores)))
+    return _words(_counts(_sharded(blocks(_reads(reads, l, d)), size.depth(l, d, cores), cores, size.tasks)))
 
 
 def supports_by(reads: DataFrame, by: str) -> DataFrame:
@@ -325,8 +318,9 @@ def supports_by(reads: DataFrame, by: str) -> DataFrame:
     cores = reads.sparkSession.sparkContext.defaultParallelism
     small = lambda c: F.col(c).cast("int").alias(c)
     own = reads.select(by, F.col("misses").cast("long").alias("misses"), small("l"), small("d"), encoded(F.coalesce("seq", F.lit(""))).alias("seq"))
-    depth = measured(own).depth(LONGEST, 0, cores)
-    return _words(_counts(_sharded(blocks(own, (by, "misses")), depth, cores), (by, "misses")), by)
+    size = measured(own)
+    cells = _sharded(blocks(own, (by, "misses")), size.depth(LONGEST, 0, cores), cores, size.tasks)
+    return _words(_counts(cells, (by, "misses")), by)
 
 
 def given_supports(words: DataFrame, reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
@@ -342,7 +336,7 @@ def _given(codes: DataFrame, n: int, own: DataFrame, l: int, d: int, size: Size,
     depth = min(l - 1, next(k for k in range(32) if 4**k >= wanted))
     shard = F.call_function("shiftrightunsigned", F.col("code"), F.lit(2 * (l - depth)))
     shards = codes.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list("code")).alias("words"))
-    return _counts(_sharded(blocks(own), depth, cores).join(shards, "shard"), (), misses)
+    return _counts(_sharded(blocks(own), depth, cores, size.tasks).join(shards, "shard"), (), misses)
 
 
 def frontier(reads: DataFrame, l: int, d: int, least: int, size: Size | None = None) -> DataFrame:  # noqa: E741
@@ -357,7 +351,7 @@ def frontier(reads: DataFrame, l: int, d: int, least: int, size: Size | None = N
     size, cores = size or measured(reads), reads.sparkSession.sparkContext.defaultParallelism
     misses = size.reads - least
     if size.segments(l, d) <= BLOCK:  # one block: the walk itself drops what misses too many
-        cells = _sharded(blocks(_reads(reads, l, d).coalesce(1)), Size(size.reads, size.bases, 1).depth(l, d, cores), cores)
+        cells = _sharded(blocks(_reads(reads, l, d).coalesce(1)), size.depth(l, d, cores), cores, 1)
         return _counts(cells, (), misses, once=True).where(F.col("n_reads") >= least)
     if misses >= FIRST_GROUP:
         return supports(reads, l, d, size).where(F.col("n_reads") >= least)
@@ -367,7 +361,7 @@ def frontier(reads: DataFrame, l: int, d: int, least: int, size: Size | None = N
         part = own.where((F.col("draw") >= taken) & (F.col("draw") < min(until, DRAWS)))
         total += part.count()
         if left is None:
-            found = _counts(_sharded(blocks(part.coalesce(1)), Size(FIRST_GROUP, 0, 1).depth(l, d, cores), cores), (), misses)
+            found = _counts(_sharded(blocks(part.coalesce(1)), Size(FIRST_GROUP, 0, 1).depth(l, d, cores), cores, 1), (), misses)
         else:
             more = _given(left.select("code"), n, part, l, d, size, misses).select("code", F.col("n_reads").alias("more"))
             found = left.join(more, "code", "left").select("l", "code", (F.col("n_reads") + F.coalesce("more", F.lit(0))).alias("n_reads"))

@@ -120,9 +120,26 @@ def max_rss_kb() -> int:
     return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 
 
+#: Settings under which Spark watches the memory of executors and their Python workers, every half second and at each heartbeat.
+WATCHED = {"spark.executor.processTreeMetrics.enabled": "true", "spark.executor.metrics.pollingInterval": "500ms", "spark.executor.heartbeatInterval": "2s"}
+_PEAKS = {"jvm_heap_kb": "JVMHeapMemory", "jvm_rss_kb": "ProcessTreeJVMRSSMemory", "python_rss_kb": "ProcessTreePythonRSSMemory"}
+
+
+def executor_peaks(spark: SparkSession) -> list[tuple]:
+    """(executor, jvm_heap_kb, jvm_rss_kb, python_rss_kb): the most memory that each executor's JVM and its Python workers have held
+    so far, as Spark's own metrics tell; executors it has not heard from yet are left out, and what it does not watch (see ``WATCHED``) is 0."""
+    known, out = spark.sparkContext._jsc.sc().statusStore().executorList(False), []
+    for i in range(known.size()):
+        executor = known.apply(i)
+        if (peaks := executor.peakMemoryMetrics()).isDefined():
+            out.append((executor.id(), *(peaks.get().getMetricValue(name) // 1024 for name in _PEAKS.values())))
+    return out
+
+
 def append_run(spark: SparkSession, path: str, variant: str, l: int, d: int, seconds: float, n_motifs: int) -> None:  # noqa: E741
-    row = [(variant, l, d, spark.sparkContext.defaultParallelism, seconds, max_rss_kb(), n_motifs)]
-    schema = "variant string, l int, d int, workers int, seconds double, max_rss_kb long, n_motifs long"
+    row = [(variant, l, d, spark.sparkContext.defaultParallelism, seconds, max_rss_kb(), n_motifs, executor_peaks(spark))]
+    executors = ", ".join(f"{c}: long" for c in _PEAKS)
+    schema = f"variant string, l int, d int, workers int, seconds double, max_rss_kb long, n_motifs long, executors array<struct<executor: string, {executors}>>"
     spark.createDataFrame(row, schema).coalesce(1).write.mode("append").json(path)
 
 

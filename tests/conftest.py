@@ -15,6 +15,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config(map={"spark.executor.processTreeMetrics.enabled": "true", "spark.executor.metrics.pollingInterval": "500ms", "spark.executor.heartbeatInterval": "2s"})
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -75,6 +75,29 @@ def test_collapsed_fold(spark):
     assert {r.w for r in collapsed.fold(found, reads).collect()} == running
 
 
+def test_collapsed_reads_are_told_apart_by_row(spark):
+    """Repeated and null sids: every row is a read, null sids come first, other letters count as A; a first read without candidates ends the fold."""
+    rows = [(3, "ACGTNCA"), (3, "TTTTTT"), (None, "ACGTACA"), (None, None), (1, "acgtaca")]
+    reads = spark.createDataFrame(rows, "sid long, seq string").coalesce(1)
+    found = collapsed.candidates(reads, 4, 1).cache()
+    sets = {}
+    for r in found.collect():
+        sets.setdefault((r.sid, r.read["at"]), []).append(r.w)
+    assert len(sets) == 4 and all(len(s) == len(set(s)) for s in sets.values())
+    by_row = [set(collapsed_words(spark, s)) for s in ("ACGTACA", "AAAAAAA", "ACGTACA", "TTTTTT")]  # in order, with small letters as A
+    running = by_row[0]
+    for other in by_row[1:]:
+        running = running & other or running
+    assert {r.w for r in collapsed.fold(found, reads).collect()} == running
+    short = spark.createDataFrame([(0, "A"), (1, "ACGT")], "sid long, seq string")
+    assert collapsed.fold(collapsed.candidates(short, 4, 1), short).collect() == []
+    assert collapsed.fold(collapsed.candidates(short.limit(0), 4, 1), short.limit(0)).collect() == []
+
+
+def collapsed_words(spark, seq):
+    return [r.w for r in collapsed.candidates(frame(spark, [seq]), 4, 1).collect()]
+
+
 def test_reads_headers_and_sinks(spark, tmp_path):
     (tmp_path / "x.txt").write_text("0 Motif acgt planted as ACG at position 7\r\nacgun\n> skipped\n\n\tACGT \n")
     lines = R.lines(spark, str(tmp_path / "x.txt"))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -161,3 +162,17 @@ def test_command_line_limits(spark, tmp_path, capsys):
     assert (tmp_path / "output" / "out_reads_ems2_l4_d0.txt").read_text() == "ACGT\tDistance: N/A\n"
     (tmp_path / "long.txt").write_text("A" * 40 + "\n")
     assert cli.main(["-s", "2p", "-l", "33", "-d", "0", str(tmp_path / "long.txt")]) == 255 and "32 bases" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("strategy", ["bitmap", "rows", "walk"])
+def test_run_records_tell_the_memory_of_executors(spark, tmp_path, strategy):
+    reads = frame(spark, drawn(random.Random(1), 60, 60))
+    for _ in range(30):  # until Spark has heard from its executor
+        MotifQuery(7, 1, 1, strategy).run(reads).count()
+        if R.executor_peaks(spark):
+            break
+        time.sleep(0.5)
+    R.append_run(spark, str(tmp_path / "runs"), strategy, 7, 1, 1.0, 5)
+    record = spark.read.json(str(tmp_path / "runs")).first()
+    assert record.variant == strategy and record.max_rss_kb > 0
+    assert [(e.executor, e.jvm_heap_kb > 0, e.jvm_rss_kb > 0, e.python_rss_kb > 0) for e in record.executors] == [("driver", True, True, True)]
