@@ -4,9 +4,13 @@ A ledger keeps additive totals by source, language and tokenizer version. Change
 rows: an insert is +1 document and +n tokens, a delete -1 and -n, a revised count is a delete and an insert.
 A batch is added up by its keys and written under a fresh name; one more file of the manifest, which appears whole or
 not at all, then makes it count. Nothing is overwritten: a commit that breaks off before that leaves the totals as
-they were, and of several commits of one id only the latest counts, so a commit that is repeated after a lost driver
-or executor counts once. Totals are the sum over the batches that count and never look at a document again.
-``compact`` adds them up into one; a later commit of an id that is compacted changes nothing.
+they were, and can be repeated. An id counts once: a commit of an id that has been committed changes nothing, whatever
+it holds, before and after a compaction; a correction is a batch of its own, of signed rows. Totals are the sum over
+the batches that count and never look at a document again.
+
+Entries are numbered in order, without a clock. A compaction adds up all batches so far into one file and takes the
+number of the last of them: what counts is the last compaction and the entries after it, ``OPEN`` at most, as a commit
+compacts by itself when there are so many. Only those are collected; an id is looked up by a filter.
 
 One writer at a time commits to a ledger; readers need no lock.
 
@@ -18,7 +22,6 @@ names.
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +33,8 @@ from strandmill.llm import common
 from strandmill.llm.tokens import BYTE_BPE_50K, encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
-_ENTRY = "seq long, batch_id string, name string, holds array<string>"
+_ENTRY = "seq long, batch_id string, name string, compacts boolean"
+OPEN = 64  # batches that count beside the last compaction
 _DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -59,38 +63,45 @@ class TokenLedger:
         self.spark, self.root = spark, root.rstrip("/")
         spark.createDataFrame([], _ENTRY).write.mode("append").json(f"{self.root}/manifest")
 
-    def _entries(self) -> list[Row]:
-        """The entries that count: the latest of each id that no compaction holds, and compactions no other one holds."""
-        rows = self.spark.read.schema(_ENTRY).json(f"{self.root}/manifest").orderBy("seq").collect()
-        latest = {r.batch_id: r for r in rows}
-        held = {i for r in rows for i in r.holds}
-        return [r for i, r in latest.items() if i not in held]
-
-    def _held(self) -> set[str]:
-        return {i for r in self.spark.read.schema(_ENTRY).json(f"{self.root}/manifest").collect() for i in r.holds}
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.schema(_ENTRY).json(f"{self.root}/manifest")
 
-    def _write(self, batch_id: str, rows: DataFrame, holds: list[str]) -> None:
+    def _entries(self) -> list[Row]:
+        """The entries that count: the last compaction and the batches after it, in order."""
+        last = self._manifest().where("compacts").agg(F.max("seq")).first()[0]
+        done = 0 if last is None else last
+        rows = self._manifest().where((F.col("seq") > done) | (F.col("compacts") & (F.col("seq") == done))).collect()
+        # A compaction that was repeated after a lost driver stands there twice, with the same sums.
+        return sorted({(r.seq, r.compacts): r for r in sorted(rows, key=lambda r: r.name)}.values(), key=lambda r: r.seq)
+
+    def _write(self, seq: int, batch_id: str | None, rows: DataFrame) -> None:
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         name = uuid.uuid4().hex
         sums.write.parquet(f"{self.root}/data/{name}")
-        entry = self.spark.createDataFrame([(time.time_ns(), batch_id, name, holds)], _ENTRY)
+        self._publish(seq, batch_id, name)
+
+    def _publish(self, seq: int, batch_id: str | None, name: str) -> None:
+        entry = self.spark.createDataFrame([(seq, batch_id, name, batch_id is None)], _ENTRY)
         entry.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
-    def commit(self, batch_id: str, *changes: DataFrame) -> None:
-        """Add up the signed rows by key and let them count as the batch, in place of an earlier one of that id."""
-        if batch_id in self._held():
-            return
+    def commit(self, batch_id: str, *changes: DataFrame) -> bool:
+        """Add up the signed rows by key and let them count as the batch; false where the id has been committed before."""
+        if not self._manifest().where(F.col("batch_id") == batch_id).isEmpty():
+            return False
         rows = changes[0]
         for more in changes[1:]:
             rows = rows.unionByName(more)
-        self._write(batch_id, rows, [])
+        entries = self._entries()
+        if len(entries) > OPEN:
+            self.compact()
+        self._write(entries[-1].seq + 1 if entries else 1, batch_id, rows)
+        return True
 
     def compact(self) -> None:
-        """One batch in place of all that count now."""
+        """One file in place of all that count now."""
         entries = self._entries()
         if len(entries) > 1:
-            held = sorted({r.batch_id for r in entries} | {i for r in entries for i in r.holds})
-            self._write(f"compaction-{uuid.uuid4().hex}", self._rows(entries), held)
+            self._write(entries[-1].seq, None, self._rows(entries))
 
     def _rows(self, entries: list[Row]) -> DataFrame:
         read = self.spark.read.schema(_DELTA)
