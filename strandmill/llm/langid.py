@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmill.llm import common
 
@@ -122,7 +123,7 @@ def profiles(docs: DataFrame, lang: Column, text: Column, size: int = SIZE) -> d
 
 
 def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the columns in ``keep``, lang_pred and score of each row."""
+    """The id, the columns in ``keep``, lang_pred and score of each row; a result column whose name is taken gets underscores behind it."""
     langs = sorted(known)
     vocabulary = np.unique(np.concatenate([np.asarray(known[k], np.int64) for k in langs])) if langs else np.empty(0, np.int64)
     places = np.full((len(langs), len(vocabulary)), -1, np.int64)
@@ -143,11 +144,12 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, SLICE):
             found = [nearest(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names[:-1], *made])
 
-    own = docs.select(id_col, *keep, F.col(text_col).cast("string").alias(common.fresh([id_col, *keep], "text")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    made = [common.fresh([id_col, *keep], name) for name in ("lang_pred", "score")]
+    own = docs.select(*(F.col(f"`{c}`") for c in (id_col, *keep)), F.col(f"`{text_col}`").cast("string").alias(common.fresh([id_col, *keep], "text")))
+    kinds = (T.StringType(), T.DoubleType())
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], *map(T.StructField, made, kinds)]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

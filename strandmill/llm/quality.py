@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmill.llm import common
 
@@ -79,8 +80,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = F
     name = text_col if keep_text else common.fresh(docs.columns, "text")
     own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(f"`{text_col}`").cast("string").alias(name))
     passed = own.schema.fields if keep_text else own.schema.fields[:-1]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
-    return own.mapInArrow(run, fields + f"`{made}` array<double>")
+    return own.mapInArrow(run, T.StructType([*passed, T.StructField(made, T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass
@@ -185,8 +185,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             got = model.score(_matrix(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], made])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + f"`{made}` double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(made, T.DoubleType())]))
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> Model:

@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmill.llm import common
 from strandmill.llm.wordhash import SECOND, hash_words, runs
@@ -297,8 +298,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 n_removed.append(n - len(words))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*(f.name for f in rest), text_col, *counts])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return joined.mapInArrow(run, f"{fields}`{text_col}` string, `{counts[0]}` long, `{counts[1]}` long")
+    made = [T.StructField(text_col, T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)]
+    return joined.mapInArrow(run, T.StructType([*rest, *made]))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,22 +99,48 @@ def test_ledger_survives_broken_commits_and_compaction(spark, tmp_path, monkeypa
     delta = lambda n, t: spark.createDataFrame([("s", "en", "v", n, t)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
     total = lambda: [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()]
     assert total() == []
-    ledger.commit("a", delta(2, 20))
-    ledger.commit("b", delta(1, 5))
+    assert ledger.commit("a", delta(2, 20))
     with monkeypatch.context() as m:  # the driver is lost after the rows, before the manifest
-        m.setattr(tokencounts.time, "time_ns", lambda: 1 / 0)
+        m.setattr(ledger, "_publish", lambda *_: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             ledger.commit("b", delta(1, 7))
-    assert total() == [(3, 25)]
-    ledger.commit("b", delta(1, 7))
-    assert total() == [(3, 27)]
+    assert total() == [(2, 20)]
+    assert ledger.commit("b", delta(1, 7)) and total() == [(3, 27)]
+    assert not ledger.commit("b", delta(1, 9)) and total() == [(3, 27)]  # an id counts once, whatever comes under it later
     ledger.compact()
-    ledger.commit("a", delta(2, 20))
-    assert total() == [(3, 27)] and len(ledger._entries()) == 1
-    ledger.commit("c", delta(-3, -27))
+    assert not ledger.commit("a", delta(2, 99)) and total() == [(3, 27)] and len(ledger._entries()) == 1
+    assert ledger.commit("c", delta(-3, -27)) and total() == []
     ledger.compact()
-    ledger.commit("b", delta(9, 9))
-    assert total() == []
+    assert not ledger.commit("b", delta(9, 9)) and total() == []
+    monkeypatch.setattr(tokencounts, "OPEN", 2)
+    for i in range(6):
+        ledger.commit(f"more-{i}", delta(1, 1))
+        assert len(ledger._entries()) <= 3
+    assert total() == [(6, 6)] and tokencounts.TokenLedger(spark, str(tmp_path / "ledger")).commit("a", delta(1, 1)) is False
+
+
+def test_corrections_are_the_same_before_and_after_compaction(spark, tmp_path):
+    delta = lambda t: spark.createDataFrame([("s", "en", "v", 1, t)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+    for compacts in (False, True):
+        ledger = tokencounts.TokenLedger(spark, str(tmp_path / f"ledger-{compacts}"))
+        ledger.commit("x", delta(5))
+        ledger.commit("y", delta(7))
+        if compacts:
+            ledger.compact()
+        ledger.commit("x", delta(50))
+        assert [r.n_tokens for r in ledger.totals().collect()] == [12]
+
+
+def test_odd_structs_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "some words of a text", "en", 0.5, "x"), (2, None, None, None, None)], "doc_id long, text string, lang string, score double, lang_pred string")
+    rows = rows.withColumn("odd", F.struct(F.lit(1).alias("a b"), F.array(F.struct(F.lit("y").alias("c`d:e"))).alias("f,g")))
+    stats = quality.with_statistics(rows, keep_text=True)
+    scored = quality.score(stats, quality.learn(stats.withColumnRenamed(stats.columns[-1], "stats").select("doc_id", "stats"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
+    assert sorted(scored.columns) == sorted([*rows.columns, "score_"]) and {r.odd["a b"] for r in scored.collect()} == {1}
+    found = langid.identify(rows, {"en": [1, 2]}, keep=("score", "lang_pred", "odd"))
+    assert found.columns == ["doc_id", "score", "lang_pred", "odd", "lang_pred_", "score_"] and [r.odd["a b"] for r in found.collect()] == [1, 1]
+    kept = substrings.deduplicate(rows)
+    assert {r.doc_id: r.odd["f,g"][0]["c`d:e"] for r in kept.collect()} == {1: "y", 2: "y"}
 
 
 def test_decontamination_query(spark, tables):
