@@ -19,8 +19,8 @@ def encoded(seq: Column) -> Column:
 
 
 def text_as_read(text: Column) -> Column:
-    """Any text as a read; non-letters go first, so case folding sees ASCII only."""
-    return encoded(normalised(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "A")))
+    """Any text as a read; non-letters go first, so case folding sees ASCII only and no white space is left around it."""
+    return encoded(F.translate(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "A")), "U", "T"))
 
 
 def decoded(digits: Column) -> Column:

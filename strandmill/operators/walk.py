@@ -372,9 +372,10 @@ def frontier(reads: DataFrame, l: int, d: int, least: int, size: Size | None = N
         taken, until = until, until * GROWTH
 
 
-def best_distances(reads: DataFrame, words: list[str], d: int, by: tuple[str, ...] = ("sid",)) -> DataFrame:
+def best_distances(reads: DataFrame, words: list[str], d: int, by: tuple[str, ...] = ("sid",), every: bool = False) -> DataFrame:
     """(by, word, distance, end) for every read and given word of A, C, G and T within d edits of a substring: the least distance, and the first
-    place, counted from 1, at which a substring of that distance ends. A read is passed over once for all words of a length."""
+    place, counted from 1, at which a substring of that distance ends. With ``every``, pairs that are further apart are there too, with
+    nulls. A read is passed over once for all words of a length."""
     lengths: dict[int, list[int]] = {}
     for w in sorted(set(words)):
         lengths.setdefault(len(w), []).append(int(w.translate(str.maketrans(BASES, "0123")), 4))
@@ -388,11 +389,19 @@ def best_distances(reads: DataFrame, words: list[str], d: int, by: tuple[str, ..
                 part = b.slice(s, 256)
                 seqs = part.column(len(by)).to_pylist()
                 for l, codes in lengths.items():  # noqa: E741
-                    block = Block(seqs, l, d)
-                    for code, _, near in walk(block, l, d, words=np.array(codes), near_too=True):
+                    block, given = Block(seqs, l, d), np.array(codes)
+                    far = np.ones((len(seqs), len(given)), bool)
+                    for code, _, near in walk(block, l, d, words=given, near_too=True):
                         at, read, distance, end = _nearest(near, block)
-                        keys = part.take(pa.array(block.reads[read])).columns[: len(by)]
-                        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(at), l, np.int32)), *map(pa.array, (code[at], distance, end))], names=schema.names)
+                        far[block.reads[read], np.searchsorted(given, code[at])] = False
+                        yield told(part, block.reads[read], l, code[at], pa.array(distance), pa.array(end))
+                    if every:
+                        read, at = np.nonzero(far)
+                        yield told(part, read, l, given[at], *[pa.nulls(len(at), pa.int64())] * 2)
+
+    def told(part: pa.RecordBatch, read: np.ndarray, l: int, code: np.ndarray, *found: pa.Array) -> pa.RecordBatch:  # noqa: E741
+        keys = part.take(pa.array(read)).columns[: len(by)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(read), l, np.int32)), pa.array(code), *found], names=schema.names)
 
     return own.mapInArrow(run, schema).select(*by, unpack(F.col("code"), F.col("l")).alias("word"), "distance", "end")
 

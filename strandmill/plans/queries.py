@@ -113,7 +113,7 @@ def distance_annotation(spark, sf_dir):
 
 
 def found_in_seq(spark, sf_dir):
-    return key_reads(spark, sf_dir).select("sid", S.found_within(F.col("seq"), LONG_WORD, 2).alias("found"))
+    return walk.best_distances(key_reads(spark, sf_dir), [LONG_WORD], 2, every=True).select("sid", F.col("distance").isNotNull().alias("found"))
 
 
 def _thirds(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_motifs import distance, frame, supports
 
 from strandmill import cli
+from strandmill.functions import sequence as S
 from strandmill.operators import bitmap, planted, verify, walk
 from strandmill.plans import motif as plans
 from strandmill.plans.motif import MotifQuery
@@ -117,6 +118,10 @@ def test_best_distances(spark):
             if best[0] <= 3:
                 expected[i, w] = best
     assert {(r.sid, r.word): (r.distance, r.end) for r in walk.best_distances(frame(spark, seqs), words, 3).collect()} == expected
+    every = walk.best_distances(frame(spark, seqs), words, 3, every=True).collect()
+    assert {(r.sid, r.word): (r.distance, r.end) for r in every} == {(i, w): expected.get((i, w), (None, None)) for i in range(len(seqs)) for w in words} and len(every) == 24
+    by_columns = frame(spark, seqs).select("sid", S.found_within(F.coalesce("seq", F.lit("")), words[0], 2).alias("found")).collect()
+    assert {r.sid for r in by_columns if r.found} == {i for (i, w), (n, _) in expected.items() if w == words[0] and n <= 2}
 
 
 def test_files_have_their_own_parameters(spark, tmp_path, capsys):
