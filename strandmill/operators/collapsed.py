@@ -45,14 +45,15 @@ def _each_with_a(insert: bool):
     return lambda w: F.when(F.length(w) > 0, _with_a(w, insert)).otherwise(F.array(F.lit("A")) if insert else F.array().cast("array<string>"))
 
 
-def _ordered(reads: DataFrame) -> DataFrame:
-    """(read, sid, seq): every row is one read; reads are ordered by sid (null first), those of one sid as the source is scanned."""
+def _ordered(reads: DataFrame, by: str | None) -> DataFrame:
+    """(group, read, sid, seq): every row is one read; reads are ordered by sid (null first), those of one sid as the source is scanned."""
+    group = (F.col(by) if by else F.lit(0)).alias("group")
     seq = encoded(F.coalesce("seq", F.lit("")))
-    return reads.select(F.struct("sid", F.monotonically_increasing_id().alias("at")).alias("read"), "sid", seq.alias("seq"))
+    return reads.select(group, F.struct("sid", F.monotonically_increasing_id().alias("at")).alias("read"), "sid", seq.alias("seq"))
 
 
-def candidates(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
-    """(read, sid, w), each w once for each read.
+def candidates(reads: DataFrame, l: int, d: int, by: str | None = None) -> DataFrame:  # noqa: E741
+    """(group, read, sid, w), each w once for each read; the group is the column ``by``.
 
     Reads are dealt once, before they grow. A word's candidates are one array, made where the word stands; what is made
     distinct for a read stays in its task.
@@ -63,8 +64,8 @@ def candidates(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
         own = F.array_distinct(F.transform(substrings(F.col("seq"), l + q, l + q), _without(drop)))
         words.append(F.transform(own, _tagged(i)))
         made = F.when(F.col("x.plan") == i, _made(F.col("x.word"), subs, adds)).otherwise(made)
-    own = _ordered(reads).repartition(n, "read").select("read", "sid", F.explode(F.concat(*words)).alias("x"))
-    return own.select("read", "sid", F.explode(made).alias("w")).distinct()
+    own = _ordered(reads, by).repartition(n, "read").select("group", "read", "sid", F.explode(F.concat(*words)).alias("x"))
+    return own.select("group", "read", "sid", F.explode(made).alias("w")).distinct()
 
 
 def _made(x: Column, subs: int, adds: int) -> Column:
@@ -75,23 +76,24 @@ def _made(x: Column, subs: int, adds: int) -> Column:
     return words
 
 
-def fold(found: DataFrame, reads: DataFrame) -> DataFrame:
-    """(w): the running set after all reads, in order; ``found`` are the candidates of ``reads``.
+def fold(found: DataFrame, reads: DataFrame, by: str | None = None) -> DataFrame:
+    """(w), or (group, w) of each value of ``by`` (not null): the running set after all reads, in order; ``found`` are the candidates of ``reads``.
 
     A round finds the next read that would change the set and intersects with it; reads that hold all of the set or
-    none of it are passed over together. The set only shrinks, so there are fewer rounds than the first read has
+    none of it are passed over together. The set only shrinks, so there are fewer rounds than a first read has
     candidates, however many reads there are. Rounds come one after the other, as the variant's order of reads asks; all
-    reads take part in each at once.
+    reads of all groups take part in each at once, and a group without a next read is done.
     """
-    least = _ordered(reads).agg(F.min("read").alias("read")).select("read").where("read IS NOT NULL")
-    running, at = found.join(F.broadcast(least), "read", "left_semi").select("w"), least
+    at = _ordered(reads, by).groupBy("group").agg(F.min("read").alias("at"))
+    own = found.select("group", "read", "w")
+    running = own.join(at, "group").where(F.col("read") == F.col("at")).select("group", "w")
     while True:
         running = running.checkpoint()
-        size = running.count()
-        at = F.broadcast(at.select(F.col("read").alias("at")))
-        later = found.join(at, F.col("read") > F.col("at")).drop("at").join(running, "w").groupBy("read").agg(F.count(F.lit(1)).alias("n"))
-        step = later.where(F.col("n") < size).agg(F.min("read").alias("read")).where("read IS NOT NULL").checkpoint()
-        if not size or step.isEmpty():
-            return running
-        running = running.join(found.join(F.broadcast(step), "read", "left_semi").select("w"), "w", "left_semi")
-        at = step
+        sizes = running.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+        met = own.join(at, "group").where(F.col("read") > F.col("at")).select("group", "read", "w").join(running, ["group", "w"])
+        shared = met.groupBy("group", "read").agg(F.count(F.lit(1)).alias("n")).join(sizes, "group")
+        at = shared.where(F.col("n") < F.col("size")).groupBy("group").agg(F.min("read").alias("at")).checkpoint()
+        if at.isEmpty():
+            return running if by else running.select("w")
+        changed = own.join(at, "group").where(F.col("read") == F.col("at")).select("group", "w")
+        running = running.join(at, "group", "left_anti").unionByName(running.join(changed, ["group", "w"], "left_semi"))

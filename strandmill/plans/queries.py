@@ -154,6 +154,13 @@ def ems2p_fold(spark, sf_dir):
     return collapsed.fold(collapsed.candidates(reads, L, 1).checkpoint(), reads).select(F.col("w").alias("motif"))
 
 
+def ems2p_groups(spark, sf_dir):
+    """(5, 1) over the reads of each nation's customers, in order of key: all folds side by side."""
+    reads = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("sid"), planted.random_bases(F.col("c_custkey")).alias("seq"))
+    found = collapsed.fold(collapsed.candidates(reads, L, 1, "nation").checkpoint(), reads, "nation")
+    return found.select(F.col("group").alias("nation"), F.col("w").alias("motif"))
+
+
 def planted_generate(spark, sf_dir):
     return planted.planted(spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey"), LONG_WORD, 1)
 
@@ -270,7 +277,7 @@ def queries() -> dict:
         "pack_2bit": pack_2bit, "unpack_2bit": unpack_2bit, "wildcard_mask": wildcard_mask,
         "edit_distance": edit_distance, "distance_annotation": distance_annotation, "found_in_seq": found_in_seq,
         "intersect_sorted": intersect_sorted, "merge_union": merge_union, "kway_merge": kway_merge,
-        "plan_enumeration": plan_enumeration, "ems2p_candidates": ems2p_candidates, "ems2p_fold": ems2p_fold,
+        "plan_enumeration": plan_enumeration, "ems2p_candidates": ems2p_candidates, "ems2p_fold": ems2p_fold, "ems2p_groups": ems2p_groups,
         "planted_generate": planted_generate, "planted_motifs": planted_motifs,
         "decode_motif": decode_motif, "mask_bits": mask_bits, "read_file": read_file, "file_consensus": file_consensus,
         "result_sink": result_sink, "verify_candidates": verify_candidates,
@@ -343,6 +350,17 @@ fold(i, ws) AS (SELECT i, ws FROM sets WHERE i = 1 UNION ALL
 SELECT unnest(ws) AS motif FROM fold WHERE i = (SELECT max(i) FROM sets)"""
 
 
+_GROUPS = (
+    _COLLAPSED.replace(_KEYS, "SELECT c_custkey AS sid, translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM customer").replace("WITH", "WITH RECURSIVE", 1)
+    + """,
+sets AS (SELECT c_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, coalesce(ws, []) AS ws
+         FROM customer LEFT JOIN (SELECT sid, list(w) AS ws FROM made GROUP BY sid) m ON m.sid = c_custkey),
+fold(nation, i, ws) AS (SELECT nation, i, ws FROM sets WHERE i = 1 UNION ALL
+                SELECT s.nation, s.i, CASE WHEN len(list_intersect(f.ws, s.ws)) > 0 THEN list_intersect(f.ws, s.ws) ELSE f.ws END FROM fold f JOIN sets s ON s.nation = f.nation AND s.i = f.i + 1)
+SELECT nation, unnest(ws) AS motif FROM (SELECT *, max(i) OVER (PARTITION BY nation) AS last FROM fold) WHERE i = last"""
+)
+
+
 def _sql_draw(name: str, below: str) -> str:
     return f"CAST(('0x' || substr(md5(CAST(sid AS VARCHAR) || '{name}'), 1, 8))::BIGINT % greatest({below}, 1) AS INTEGER)"
 
@@ -413,7 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_union": f"{_SIX} SELECT w FROM sets WHERE part < 2 UNION SELECT w FROM sets WHERE part = 2",
         "kway_merge": f"{_SIX} SELECT DISTINCT w FROM sets",
         "ems2p_candidates": f"{_COLLAPSED} SELECT w, count(DISTINCT sid) AS n_reads FROM made GROUP BY w",
-        "ems2p_fold": _FOLD,
+        "ems2p_fold": _FOLD, "ems2p_groups": _GROUPS,
         "planted_generate": f"WITH {_PLANTED} {_PLANTED_READS}",
         "planted_motifs": _PLANTED_MOTIFS,
         "decode_motif": "SELECT p_partkey, code, array_to_string(list_transform(string_split(code, ''), lambda c: CASE WHEN c IN ('0', '1', '2', '3') THEN substr('ACGT', c::INTEGER + 1, 1) WHEN c IN ('5', '6', '7', '8', '9') THEN '?' ELSE '*' END), '') AS motif FROM (SELECT p_partkey, p_brand || '-' || p_partkey AS code FROM part)",

@@ -94,6 +94,19 @@ def test_collapsed_reads_are_told_apart_by_row(spark):
     assert collapsed.fold(collapsed.candidates(short.limit(0), 4, 1), short.limit(0)).collect() == []
 
 
+def test_collapsed_folds_side_by_side(spark):
+    rng = random.Random(7)
+    rows = [(g, i, "".join(rng.choices("ACGT", k=14))) for g in ("x", "y", "z") for i in range(6)] + [("z", -1, "A")]
+    reads = spark.createDataFrame(rows, "file string, sid long, seq string")
+    found = {}
+    for r in collapsed.fold(collapsed.candidates(reads, 4, 1, "file"), reads, "file").collect():
+        found.setdefault(r.group, set()).add(r.w)
+    for g in "xyz":
+        own = reads.where(F.col("file") == g)
+        assert found.get(g, set()) == {r.w for r in collapsed.fold(collapsed.candidates(own, 4, 1), own).collect()}
+    assert found["x"] and "z" not in found  # the first read of z has no candidates
+
+
 def collapsed_words(spark, seq):
     return [r.w for r in collapsed.candidates(frame(spark, [seq]), 4, 1).collect()]
 
