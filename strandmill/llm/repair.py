@@ -42,6 +42,7 @@ GONE = 8  # the symbol of a row that must be deleted; others are 2 * kind of rol
 FAR = 1 << 60
 AFTER_USER = {0: 2, 1: 2, 3: 2, 2: 3}  # state -> state, by a user turn or, after a user, an assistant turn
 END = (0, 2 * INSERT, INSERT, 0)  # costs after the last row: what is missing is inserted
+OUT = 1 << 14  # rows that a task gathers before it hands them on; a block adds a batch at most
 FAULTS = ("blank", "duplicate", "truncated")
 
 
@@ -295,6 +296,9 @@ def repaired(done: DataFrame, rows: DataFrame) -> DataFrame:
                         role = None if letter == "K" else "user" if state == "2" else "assistant"
                         out.append((r["conv"], place, sub, role, letter != "I"))
                     place, sub = (place, sub + 1) if letter == "I" else (place + 1, 0)
+                if len(out) >= OUT:
+                    yield _batch(schema, out, b.schema.field("conv").type)
+                    out = []
             yield _batch(schema, out, b.schema.field("conv").type)
 
     made = done.select("conv", "block", "letters", "states").mapInArrow(run, schema)
