@@ -7,9 +7,9 @@ process keeps. Choices are then unrolled row by row, always the least letter of
 
 A conversation may hold any share of all rows, so no step brings its rows together. Rows are sorted over all tasks by
 conversation and turn (a range of the order each, so a large conversation lies in many), and their place in that order
-is their number. A stretch of up to a batch of rows is a block; only blocks meet by conversation: once from the
-last to the first, to hand each block the costs that come after it, and once from the first to the last, to
-choose between what it does from each state. A later block is unrolled from all four states. Rows seen earlier are
+is their number. A stretch of up to a batch of rows is a block; only blocks meet by conversation, as a few numbers
+each: once from the last to the first, to hand each block the costs that come after it, and once from the first to
+the last, to choose between what it does from each state. A later block is unrolled from all four states. Rows seen earlier are
 told by the least place of each (conversation, role, SHA-256 of the text), added up before the shuffle and joined back
 by place. ``repair`` gives the rows; the digest and the audit of a whole conversation are one value, which the query
 makes from them in one pass over sorted rows.
@@ -244,7 +244,7 @@ class _Backward:
 
 
 class _Forward:
-    """Blocks in order with what each does from any state -> what it does."""
+    """Blocks in order with the states they end in -> which of its ways each takes."""
 
     def __init__(self):
         self.conv, self.state, self.last, self.fresh = None, 0, None, True
@@ -255,9 +255,9 @@ class _Forward:
         if self.fresh or row["conv"] != self.conv:
             self.conv, self.state, self.last, self.fresh = row["conv"], 0, None, False
         broken = self.last is not None and (self.last, row["first"]) not in ((0, 1), (1, 2), (2, 1))
-        way = row["ways"][self.state if len(row["ways"]) > 1 else 0]
-        self.state, self.last = int(way["states"][-1]), row["last"]
-        return [(row["conv"], row["block"], way["letters"], way["states"], row["illegal"] + broken, row["cost"])]
+        at = self.state if len(row["ends"]) > 1 else 0
+        self.state, self.last = row["ends"][at], row["last"]
+        return [(row["conv"], row["block"], at, row["illegal"] + broken)]
 
 
 def edits(found: DataFrame) -> DataFrame:
@@ -278,8 +278,11 @@ def edits(found: DataFrame) -> DataFrame:
             yield _batch(schema, out, b.schema.field("conv").type)
 
     ways = joined.select("conv", "block", "runs", "after", "final", "opening", "illegal", "first", "last", "cost").mapInArrow(run, schema)
-    done = {"block": T.LongType(), "letters": T.StringType(), "states": T.StringType(), "illegal": T.LongType(), "cost": T.LongType()}
-    return common.stored(_by_conversation(ways, F.asc("block"), done, _Forward), "edits")
+    ways = common.stored(ways, "ways")
+    ends = F.transform("ways", lambda w: F.right(w["states"], F.lit(1)).cast("int")).alias("ends")
+    taken = _by_conversation(ways.select("conv", "block", ends, "illegal", "first", "last"), F.asc("block"), {"block": T.LongType(), "at": T.IntegerType(), "illegal": T.LongType()}, _Forward)
+    chosen = ways.select("conv", "block", "ways", "cost").join(taken.drop("conv"), "block").withColumn("way", F.get("ways", F.col("at")))
+    return common.stored(chosen.select("conv", "block", "way.letters", "way.states", "illegal", "cost"), "edits")
 
 
 def repaired(done: DataFrame, rows: DataFrame) -> DataFrame:
