@@ -11,11 +11,15 @@ Groups of copies may be large, so no bucket is expanded into all pairs:
 1. Equal sets collapse: one representative goes on, the others follow it.
 2. Members of a bucket over ``SMALL`` rows are compared with the bucket's hub only, the member that stands in the
    largest buckets. Confirmed links are joined into components.
-3. Members of buckets over ``SMALL`` rows that still hold several components are joined with each other by prefix:
+3. Families around the threshold stay in many components then. In rounds, members outside the largest component of a
+   bucket are compared with ``SEATS`` of its members, and confirmed links join components. A round's pairs are linear in the
+   rows; as fewer members are left outside, each meets more seats. Rounds end when the members left outside could meet
+   all others of their buckets within the same budget, or when a round gains little.
+4. Members of buckets over ``SMALL`` rows that still hold several components are joined with each other by prefix:
    shingles in order of rarity, of which two sets at the threshold must share one near their beginnings. Length and
    position bounds are exact, so no link among these members is lost, and what copies have in common comes late in
    the order. Of each shingle's rows, those of its largest component are only met by the others.
-4. Buckets of at most ``SMALL`` rows give the remaining pairs of members that are not in one component yet.
+5. Buckets of at most ``SMALL`` rows give the remaining pairs of members that are not in one component yet.
 
 A pair at similarity 0.85 shares at least one of 28 bands of 6 with probability 1 - 2e-6, at 0.8 with 1 - 2e-4.
 
@@ -31,6 +35,8 @@ through ``deduplicate`` untouched, whatever their names, and are ignored elsewhe
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +51,7 @@ from strandmill.llm.wordhash import hash_words, mix, runs
 WIDTH, PERMS, ROWS, SMALL, SEED = 5, 84, 6, 16, 31
 VALUES = 2 * PERMS
 BANDS = VALUES // ROWS
+SEATS, MOST_SEATS, GAIN = 16, 1024, 0.75
 BROADCAST_ROWS = 1 << 20
 SLICE = 512  # texts that a task holds as Python values at once
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,11 +163,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _matches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Stored pairs (a, b) whose full sets have 100 * intersection >= percent * union; a hub's set meets its pairs in parts."""
+    """Stored pairs (a, b, ...) whose full sets have 100 * intersection >= percent * union; a hub's set meets its pairs in parts."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("fa")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("fb"))
     met = common.spread_join(common.spread_join(pairs, left, "a", _sizes(pairs, "a")), right, "b", _sizes(pairs, "b"))
     met = met.withColumn("both", F.size(F.array_intersect("fa", "fb")))
-    return met.where(100 * F.col("both") >= percent * (F.size("fa") + F.size("fb") - F.col("both"))).select("a", "b")
+    return met.where(100 * F.col("both") >= percent * (F.size("fa") + F.size("fb") - F.col("both"))).select(pairs.columns)
 
 
 def _one_set(sets: DataFrame, reps: DataFrame) -> DataFrame:
@@ -191,6 +198,41 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.spread_join(every, few, "token", most).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Confirmed links that join components of the buckets ``large`` (bucket, doc_id, rows), and the labels they lead to.
+
+    Pairs that no round compares are left to the exact join, so a round decides how much work is left, not the result.
+    """
+    found, budget, last = [], None, None
+    for turn in itertools.count():
+        rows = common.stored(_labelled(large, labels), "labelled")
+        shares = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mains = common.stored(shares.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("most.label").alias("main")), "mains")
+        rows = common.stored(common.spread_join(rows, mains, "bucket", sizes), "unsettled")
+        others = rows.where("label <> main")
+        total, outside, work = rows.agg(F.count(F.lit(1)), F.count_if(F.col("label") != F.col("main")), F.sum(F.when(F.col("label") != F.col("main"), F.col("rows")))).first()
+        budget = SEATS * total if budget is None else budget
+        if not outside or work <= budget or (last is not None and work > GAIN * last):
+            return found, labels
+        last, seats = work, max(SEATS, min(MOST_SEATS, budget // outside))
+        drawn = F.xxhash64("doc_id", F.lit(turn))
+        chosen = rows.groupBy("bucket", F.pmod(drawn, F.lit(seats)).alias("seat")).agg(F.min(F.struct(drawn.alias("drawn"), "doc_id", "label")).alias("s"))
+        chosen = chosen.select("bucket", F.col("s.doc_id").alias("y"), F.col("s.label").alias("ly"))
+        one = F.max(F.struct(F.xxhash64("bucket", F.lit(turn)), "bucket"))["bucket"].alias("bucket")
+        asks = common.stored(others.groupBy(F.col("doc_id").alias("x"), F.col("label").alias("lx")).agg(one), "asks")
+        met = common.spread_join(asks, chosen, "bucket", _sizes(asks, "bucket")).where("lx <> ly")
+        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb")).distinct()
+        # Of the links between two components one is enough.
+        near = _matches(common.stored(met, "met"), sets, percent).groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("link"))
+        near = common.stored(near.select("la", "lb", "link.a", "link.b"), "near")
+        if near.isEmpty():
+            return found, labels
+        found.append(near.select("a", "b"))
+        tops = components(near.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("doc_id").alias("label"), F.col("label").alias("top"))
+        own = common.stored(_labelled(large.select("doc_id").distinct(), labels), "own")
+        labels = common.stored(common.spread_join(own, tops, "label", _sizes(own, "label"), "left").select("doc_id", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
     """Confirmed links (a, b) that join all linked representatives (doc_id, n, sig); ``docs`` is (doc_id, text)."""
     keys = common.stored(band_keys(reps), "keys")
@@ -209,6 +251,8 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 8
     stars = common.spread_join(large, hubs, "bucket", sizes).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     found = common.stored(_matches(common.stored(stars, "rays"), sets, percent), "stars")
     labels = None if found.isEmpty() else components(found)
+    more, labels = _in_rounds(large, sizes, labels, sets, percent)
+    found = functools.reduce(DataFrame.unionByName, more, found)
 
     rows = common.stored(_labelled(shared, labels), "labelled")
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
