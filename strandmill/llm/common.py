@@ -104,11 +104,3 @@ def dealt(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
     found = spark.table(entry)
     spark.sql(f"DROP TABLE {entry}")
     return found
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of stored tables that no later step reads."""
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -9,7 +9,8 @@ document's ends, or whose first or last word differs, fall away; the rest is com
 Texts stay where they are read: words are exploded, probed against the broadcast windows and compared in one
 stage, and only places of occurrences are shuffled. The windows are broadcast while they are under
 ``broadcast_bytes``; larger benchmarks are joined by shuffling the words that begin some prefix, frequent ones dealt
-over several tasks, and the places that fit are then compared with the document's words.
+over several tasks, and the places that fit are then compared with the document's words. Other words are dropped before
+they move, by a broadcast of the prefix tokens while these are under ``broadcast_bytes``; beyond that all words move.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no window; equal windows
 of several items count for each item; repeated rows give repeated rows; rows of one id with different texts are
@@ -62,6 +63,12 @@ def _fits(df: DataFrame, limit: int) -> bool:
     return (df.agg(F.sum(width)).first()[0] or 0) <= limit
 
 
+def beginning(spoken: DataFrame, probes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``spoken`` whose token is some window's rarest; all rows where those tokens are too many to broadcast."""
+    tokens = common.stored(probes.select("token").distinct(), "prefix_tokens")
+    return spoken.join(F.broadcast(tokens), "token", "left_semi") if _fits(tokens, broadcast_bytes) else spoken
+
+
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc, n_words, spans, items), a row for each input row.
 
@@ -86,7 +93,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         met = spoken.join(F.broadcast(probes.unionByName(nothing)), "token").where(F.col("window").isNull() | (fits & ends & same))
         met = met.select(*keys, span.alias("span"), "items")
     else:
-        spoken = own.select(*keys, F.posexplode("words").alias("at", "token"))
+        spoken = beginning(own.select(*keys, F.posexplode("words").alias("at", "token")), probes, broadcast_bytes)
         places = common.spread_join(spoken, probes, "token", counts).where(fits).select(*keys, start.alias("start"), "window", "items")
         again = own.select("doc", "h1", "h2", "words").dropDuplicates(["doc", "h1", "h2"])
         joined = places.alias("p").join(again.alias("d"), F.col("p.doc").eqNullSafe(F.col("d.doc")) & (F.col("p.h1") == F.col("d.h1")) & (F.col("p.h2") == F.col("d.h2")))
@@ -104,9 +111,14 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def n_hit(spans: Column) -> Column:
-    """Words covered by at least one span."""
-    places = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    return F.size(F.array_distinct(places)).cast("long")
+    """Words covered by at least one of the sorted spans."""
+    state = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
+
+    def step(so_far: Column, s: Column) -> Column:
+        end = F.greatest(so_far["end"], (s["start"] + s["length"]).cast("long"))
+        return F.struct((so_far["hit"] + end - F.greatest(so_far["end"], F.least(end, s["start"].cast("long")))).alias("hit"), end.alias("end"))
+
+    return F.aggregate(spans, state, step, lambda last: last["hit"])
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -14,7 +14,7 @@ Groups of copies may be large, so no bucket is expanded into all pairs:
 3. Families around the threshold stay in many components then. In rounds, members outside the largest component of a
    bucket are compared with ``SEATS`` of its members, and confirmed links join components. A round's pairs are linear in the
    rows; as fewer members are left outside, each meets more seats. Rounds end when the members left outside could meet
-   all others of their buckets within the same budget, or when a round gains little.
+   all others of their buckets within the same budget, or when a round joins less than a twentieth of the components.
 4. Members of buckets over ``SMALL`` rows that still hold several components are joined with each other by prefix:
    shingles in order of rarity, of which two sets at the threshold must share one near their beginnings. Length and
    position bounds are exact, so no link among these members is lost, and what copies have in common comes late in
@@ -51,7 +51,7 @@ from strandmill.llm.wordhash import hash_words, mix, runs
 WIDTH, PERMS, ROWS, SMALL, SEED = 5, 84, 6, 16, 31
 VALUES = 2 * PERMS
 BANDS = VALUES // ROWS
-SEATS, MOST_SEATS, GAIN = 16, 1024, 0.75
+SEATS, MOST_SEATS, GAIN = 16, 1024, 0.95
 BROADCAST_ROWS = 1 << 20
 SLICE = 512  # texts that a task holds as Python values at once
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,11 +210,12 @@ def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, set
         mains = common.stored(shares.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("most.label").alias("main")), "mains")
         rows = common.stored(common.spread_join(rows, mains, "bucket", sizes), "unsettled")
         others = rows.where("label <> main")
-        total, outside, work = rows.agg(F.count(F.lit(1)), F.count_if(F.col("label") != F.col("main")), F.sum(F.when(F.col("label") != F.col("main"), F.col("rows")))).first()
+        apart = F.col("label") != F.col("main")
+        total, outside, work, parts = rows.agg(F.count(F.lit(1)), F.count_if(apart), F.sum(F.when(apart, F.col("rows"))), F.count_distinct("label")).first()
         budget = SEATS * total if budget is None else budget
-        if not outside or work <= budget or (last is not None and work > GAIN * last):
+        if not outside or work <= budget or (last is not None and parts > GAIN * last):
             return found, labels
-        last, seats = work, max(SEATS, min(MOST_SEATS, budget // outside))
+        last, seats = parts, max(SEATS, min(MOST_SEATS, budget // outside))
         drawn = F.xxhash64("doc_id", F.lit(turn))
         chosen = rows.groupBy("bucket", F.pmod(drawn, F.lit(seats)).alias("seat")).agg(F.min(F.struct(drawn.alias("drawn"), "doc_id", "label")).alias("s"))
         chosen = chosen.select("bucket", F.col("s.doc_id").alias("y"), F.col("s.label").alias("ly"))

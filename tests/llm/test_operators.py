@@ -71,6 +71,28 @@ def test_near_duplicates_in_large_buckets(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.component_id == r.doc_id) for r in found.collect()} == brute.near(rows)
 
 
+def test_near_duplicates_of_a_family_around_the_threshold(spark, monkeypatch):
+    """Pairs mostly just under the threshold: rounds join components, and far from all pairs are compared."""
+    rng, n = random.Random(5), 200
+    base, rows = words(rng, 200), []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(len(w)), 2):
+            w[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    compared, real = [], neardup._matches
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(neardup, "_matches", counted)
+    monkeypatch.setattr(neardup, "SEATS", 4)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.component_id == r.doc_id) for r in found.collect()} == brute.near(rows)
+    assert len(compared) > 3 and sum(compared) < n * (n - 1) // 2
+
+
 def test_near_duplicates_defined_cases(empty, odd):
     assert neardup.near_duplicates(empty).count() == 0
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in neardup.near_duplicates(odd).collect()) == [(-1, 0, -1), (1, 1, 1), (1, 1, 1), (1, 1, 1)]

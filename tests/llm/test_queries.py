@@ -285,6 +285,24 @@ def test_hot_keys_are_split_and_change_nothing(spark, monkeypatch):
     assert sorted((r.doc_id, r.text or "") for r in cleaned) == sorted((d, t or "") for d, t in brute.lines([(r[0], r[3], r[1]) for r in corpus()]))
 
 
+def test_words_that_begin_no_window_stay_before_the_shuffle(spark):
+    """Between all windows broadcast and none of their tokens there is the way that broadcasts the tokens: same rows, fewer words moved."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 400}" for j in range(60 + i))) for i in range(60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"b{i}", " ".join(f"w{(i * 31 + j) % 400}" for j in range(14))) for i in range(20)], "item_id string, text string")
+    probes, _ = decontam.with_prefix(decontam.windows(bench), docs)
+    tokens = probes.select("token").distinct()
+    middle = tokens.count() * 80
+    assert decontam._fits(tokens, middle) and not decontam._fits(probes, middle)
+    spoken = docs.select(F.explode(decontam.words(F.col("text"))).alias("token"))
+    kept = decontam.beginning(spoken, probes, middle)
+    assert 0 < kept.count() < spoken.count() and decontam.beginning(spoken, probes, 0).count() == spoken.count()
+    want = brute.contamination([tuple(r) for r in docs.collect()], [tuple(r) for r in bench.collect()])
+    for limit in (decontam.BROADCAST_BYTES, middle, 0):
+        found = decontam.occurrences(docs, bench, broadcast_bytes=limit)
+        got = {r.doc: (r.n_words, r.hit, len(r["items"])) for r in found.withColumn("hit", decontam.n_hit(F.col("spans"))).collect()}
+        assert got == {k: v[:3] for k, v in want.items()} and any(hit for _, hit, _ in got.values())
+
+
 def test_one_anchor_fills_several_automata(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD_PHRASES", 2)
     monkeypatch.setattr(substrings, "TASK_BYTES", 2000)
