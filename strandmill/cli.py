@@ -63,7 +63,7 @@ def search(spark: SparkSession, file: str, s: str, l: int, d: int, header_mode:
     consensus = (R.consensus(lines).first() or {"consensus": ""})["consensus"]
     reads = R.reads(lines, header_mode)
     if s == "2p":
-        motifs = collapsed.fold(collapsed.candidates(reads, l, d), reads).select(F.col("w").alias("motif"), distance_to(F.col("w"), F.lit(consensus)).alias("distance"))
+        motifs = collapsed.folded(reads, l, d).select(F.col("w").alias("motif"), distance_to(F.col("w"), F.lit(consensus)).alias("distance"))
     elif words:
         given = spark.read.text(words).select(F.upper(F.trim("value")).alias("w"))
         motifs = MotifQuery(l, d, quorum).verify(given, reads, consensus)

@@ -154,3 +154,26 @@ def test_merge_union_reads_every_row(spark, tmp_path):
     seqs = [r.seq for r in queries.key_reads(spark, str(tmp_path)).collect()]
     expected = sorted({s[i : i + 6] for s in seqs for i in range(len(s) - 5)})
     assert len(seqs) == len(keys) and [r.w for r in queries.merge_union(spark, str(tmp_path)).collect()] == expected
+
+
+def test_collapsed_fold_from_reads_alone(spark, monkeypatch):
+    """Groups, null groups, ties and null sids, empty and long reads: as the fold of all candidates; no table of candidates is broadcast."""
+    rng = random.Random(11)
+    rows = [(g, rng.choice([None, i, i // 2]), "".join(rng.choices("ACGT", k=rng.choice([0, 3, 14, 40])))) for g in ("x", "y", "z", None) for i in range(9)]
+    reads = spark.createDataFrame(rows + [("w", 0, "A"), ("w", 1, "ACGTACGT"), ("v", 1, None)], "file string, sid long, seq string").coalesce(1)
+    by_group = sorted(map(tuple, collapsed.fold(collapsed.candidates(reads, 4, 1, "file"), reads, "file").collect()))
+    every = sorted(collapsed.fold(collapsed.candidates(reads, 5, 2), reads).collect())
+    for segment in (64, 3):
+        monkeypatch.setattr(collapsed, "SEGMENT", segment)
+        assert sorted(map(tuple, collapsed.folded(reads, 4, 1, "file").collect())) == by_group
+        assert sorted(collapsed.folded(reads, 5, 2).collect()) == every
+
+
+def test_collapsed_queries_make_no_row_for_each_candidate(spark, tmp_path, monkeypatch):
+    from strandmill.plans import queries
+
+    spark.createDataFrame([(k,) for k in range(40)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    reads = queries.key_reads(spark, str(tmp_path))
+    expected = sorted(r.w for r in collapsed.fold(collapsed.candidates(reads, 5, 1), reads).collect())
+    monkeypatch.setattr(collapsed, "candidates", None)
+    assert sorted(r.motif for r in queries.ems2p_fold(spark, str(tmp_path)).collect()) == expected
