@@ -4,6 +4,9 @@ The state after some bases of a word w is one row of the table of edit distances
 has bit i where the first i bases of x are within e edits. All (x, prefix) pairs of a chunk advance together by
 shifts, ANDs and ORs, and keep only bits from which the end of x can be reached, so every pair that is left leads to a
 neighbour, and each neighbour of x comes once, however many scripts of edits make it.
+
+Short words come again in read after read, so their neighbours are kept: a worker walks each of them once, and a read is then
+a lookup of its words, whose neighbours are made distinct and counted many reads at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from strandmill.functions.sequence import BASES
 
 PAIRS = 1 << 16  # pairs that advance at once
 TOGETHER = 2048  # bases of reads that are walked together
+LOOKED_UP = 1 << 16  # bases of reads whose words are looked up together
+EXPANDED = 1 << 21  # neighbours of them that are held at once
+LONGEST_KEPT = 9  # bases of words whose neighbours are kept; there are 4 to the power of this of the longest
 _ONE = np.uint64(1)
 
 
@@ -82,6 +88,111 @@ def neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     return words.where((F.length("x") > 0) & (F.abs(F.length("x") - l) <= d)).select("x").mapInArrow(run, "x string, code long")
 
 
+class Kept:
+    """Neighbours of words by their packed numbers (with a 1 before the first base), walked when a word is first met."""
+
+    def __init__(self, l: int, d: int):  # noqa: E741
+        self.l, self.d = l, d
+        self.start, self.count = np.full(2 * 4 ** (l + d), -1, np.int64), np.zeros(2 * 4 ** (l + d), np.int64)
+        self.codes, self.size = np.empty(1 << 16, np.int32), 0
+
+    def meet(self, words: np.ndarray) -> None:
+        new = np.unique(words[self.start[words] < 0])
+        for k in range(max(1, self.l - self.d), self.l + self.d + 1):
+            own = new[(new >= 4**k) & (new < 2 * 4**k)]
+            for s in range(0, len(own), PAIRS >> 4):
+                self._walk(own[s : s + (PAIRS >> 4)], k)
+
+    def _walk(self, words: np.ndarray, k: int) -> None:
+        said = np.frombuffer(BASES.encode(), np.uint8)[(words[:, None] >> 2 * np.arange(k - 1, -1, -1)) & 3]
+        found = list(near([bytes(w).decode() for w in said], self.l, self.d))
+        at, codes = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(2))
+        count = np.bincount(at, minlength=len(words))
+        while self.size + len(codes) > len(self.codes):
+            self.codes = np.concatenate((self.codes, np.empty_like(self.codes)))
+        self.codes[self.size : self.size + len(codes)] = codes[np.argsort(at, kind="stable")]
+        self.start[words], self.count[words] = self.size + np.cumsum(count) - count, count
+        self.size += len(codes)
+
+    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(neighbours of all words one after the other, how many each word has)"""
+        count = self.count[words]
+        ends = np.cumsum(count)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[words] - ends + count, count)
+        return self.codes[places], count
+
+    def add(self, seqs: list[str], counts: np.ndarray) -> None:
+        """Add to the counts of all words how many of the reads each is near."""
+        owner, words = _own_words(seqs, self.l, self.d)
+        self.meet(words)
+        before = np.cumsum(self.count[words]) - self.count[words]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        parts, ends = before[starts] // EXPANDED, np.append(starts[1:], len(words))
+        for first in np.flatnonzero(np.diff(parts, prepend=-1)):
+            last = np.searchsorted(parts, parts[first], "right") - 1
+            self._count(owner[starts[first] : ends[last]] - owner[starts[first]], words[starts[first] : ends[last]], counts)
+
+    def _count(self, owner: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
+        if owner[-1] == 0:  # one read, however long
+            seen = np.zeros(len(counts), bool)
+            for s in range(0, len(words), PAIRS >> 2):
+                seen[self.near(words[s : s + (PAIRS >> 2)])[0]] = True
+            counts += seen
+            return
+        codes, count = self.near(words)
+        keys = np.repeat(owner * len(counts), count) + codes
+        cells = (int(owner[-1]) + 1) * len(counts)
+        if cells <= 4 * len(keys):
+            seen = np.zeros(cells, bool)
+            seen[keys] = True
+            counts += seen.reshape(-1, len(counts)).sum(0)
+        elif len(keys):
+            keys = np.sort(keys.astype(np.uint32) if cells < 1 << 32 else keys)
+            kept = np.append(True, keys[1:] != keys[:-1])
+            counts += np.bincount((keys[kept] & (len(counts) - 1)).astype(np.int64), minlength=len(counts))
+
+
+def _own_words(seqs: list[str], l: int, d: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+    """(read, packed word) for the distinct substrings of l - d to l + d bases of each read, by read."""
+    digits = np.searchsorted(np.frombuffer(BASES.encode(), np.uint8), np.frombuffer("".join(seqs).encode(), np.uint8))
+    length = np.array([len(s) for s in seqs], np.int64)
+    reads, left = np.repeat(np.arange(len(seqs)), length), np.repeat(np.cumsum(length), length) - np.arange(len(digits))
+    keys, packed = [], np.ones(len(digits), np.int64)
+    for k in range(1, l + d + 1):
+        packed = packed[: len(digits) - k + 1] * 4 + digits[k - 1 :]
+        if k >= l - d:
+            inside = left[: len(packed)] >= k
+            keys.append((reads[: len(packed)][inside] << 2 * (l + d) + 1) + packed[inside])
+    found = np.unique(np.concatenate(keys))
+    return found >> 2 * (l + d) + 1, found & ((1 << 2 * (l + d) + 1) - 1)
+
+
+@functools.lru_cache(2)
+def _kept(l: int, d: int) -> Kept:  # noqa: E741
+    return Kept(l, d)
+
+
+def read_counts(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
+    """(code, n): in how many reads (seq) of a task each word of length l has a substring within d edits, for l + d up to ``LONGEST_KEPT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, counts = _kept(l, d), np.zeros(4**l, np.int64)
+        held, bases = [], 0
+        for b in batches:
+            for s in range(0, len(b), 256):
+                for seq in b.column(0).slice(s, 256).to_pylist():
+                    held.append(seq)
+                    bases += len(seq)
+                    if bases >= LOOKED_UP or len(held) >= LOOKED_UP:
+                        kept.add(held, counts)
+                        held, bases = [], 0
+        kept.add(held, counts)
+        codes = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts[codes])], names=["code", "n"])
+
+    return reads.select("seq").mapInArrow(run, "code long, n long")
+
+
 def read_words(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     """(code) for each read (seq) and word of length l within d edits of one of its substrings, once for each read."""
 

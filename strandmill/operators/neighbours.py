@@ -1,8 +1,8 @@
 """K-mers, edits and edit neighbourhoods as DataFrame operators.
 
-Neighbourhoods of words of up to 31 bases come from the distance automaton of each word. Where few different words can
-occur, and for longer words, they are made in layers, once for each distinct k-mer: a layer adds one edit and is made
-distinct before the next; words that can no longer reach the wanted length are dropped before they are expanded.
+Neighbourhoods of words of up to 31 bases come from the distance automaton of each word. For longer words they are made
+in layers, once for each distinct k-mer: a layer adds one edit and is made distinct before the next; words that can no
+longer reach the wanted length are dropped before they are expanded.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.sequence import BASES, encoded, pack_with_length, substrings, unpack, unpack_with_length
+from strandmill.functions.sequence import BASES, encoded, substrings, unpack
 from strandmill.operators import automaton
 
 LONGEST = 31  # bases that a BIGINT holds with their number
-BROADCAST_ROWS = 1 << 20  # pairs of packed words, 16 bytes each
+BROADCAST_ROWS = 1 << 25  # pairs of a word and a neighbour that a worker may keep, 4 bytes each
 
 
 def kmers(reads: DataFrame, l: int, d: int = 0) -> DataFrame:  # noqa: E741
@@ -50,35 +50,6 @@ def neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     return automaton.neighbourhood(words, l, d).select("x", unpack(F.col("code"), F.lit(l)).alias("w"))
 
 
-def packed_neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
-    """As ``neighbourhood``, in layers, for words x packed with their lengths, 1 to l + d bases each."""
-    layer = words.select("x", F.col("x").alias("w"))
-    for left in range(d - 1, -1, -1):
-        layer = layer.select("x", F.explode(_packed_edits(F.col("w"), l, left)).alias("w")).distinct()
-    return layer if d else layer.where((F.col("w") >= 4**l) & (F.col("w") < 2 * 4**l))
-
-
-def _packed_edits(w: Column, l: int, left: int) -> Column:  # noqa: E741
-    """Packed words one edit from w, and w itself, of lengths from which l can be reached with ``left`` edits.
-
-    The places of a word are known from its length, so there is one fixed list of expressions for each length.
-    """
-    shift = lambda c, bits: F.shiftleft(c, bits) if bits >= 0 else F.shiftright(c, -bits)
-    low = lambda i: w.bitwiseAND(F.lit((1 << 2 * i) - 1).cast("long"))
-    at = lambda b, i: F.lit(b << 2 * i).cast("long")
-    made = F.array().cast("array<bigint>")
-    for k in range(max(1, l - left - 1), l + left + 2):
-        out = []
-        if abs(k - l) <= left:
-            out += [shift(shift(w, -2 * i - 2), 2 * i + 2).bitwiseOR(low(i)).bitwiseOR(at(b, i)) for i in range(k) for b in range(4)]
-        if abs(k - 1 - l) <= left and k > 1:
-            out += [shift(shift(w, -2 * i - 2), 2 * i).bitwiseOR(low(i)) for i in range(k)]
-        if abs(k + 1 - l) <= left:
-            out += [shift(shift(w, -2 * i), 2 * i + 2).bitwiseOR(low(i)).bitwiseOR(at(b, i)) for i in range(k + 1) for b in range(4)]
-        made = F.when((w >= 4**k) & (w < 2 * 4**k), F.array(*out)).otherwise(made)
-    return made
-
-
 def _neighbourhood_of_text(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
     layer = words.select("x", F.col("x").alias("w")).where(F.abs(F.length("w") - l) <= d)
     for left in range(d - 1, -1, -1):
@@ -113,18 +84,16 @@ def supports(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
 
     Reads are dealt by number before they grow, so whatever is made distinct for a read needs no shuffle; only counts by
     word are shuffled, added up before. Where all words there can be and their neighbourhoods are few (short words, that
-    many reads share), these are made once and broadcast; otherwise each read's words are walked in place.
+    many reads share), a worker keeps the neighbours of the words it has met; otherwise each read's words are walked in place.
     """
     if l + d > LONGEST:
         own = own_words(dealt(reads), l, d)
         near = neighbourhood(own.select("x").distinct(), l, d)
         return own.join(near, "x").select("read", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n_reads"))
-    if _most_words(l, d) * most_near(l, d) <= BROADCAST_ROWS:
-        own = own_words(dealt(reads), l, d).select("read", pack_with_length(F.col("x")).alias("x"))
-        near = packed_neighbourhood(own.select("x").distinct(), l, d)
-        found = own.join(F.broadcast(near), "x").select("read", "w").distinct()
-        return found.groupBy("w").agg(F.count(F.lit(1)).alias("n_reads")).select(unpack_with_length(F.col("w")).alias("w"), "n_reads")
-    counts = automaton.read_words(dealt(reads), l, d).groupBy("code").agg(F.count(F.lit(1)).alias("n_reads"))
+    if l + d <= automaton.LONGEST_KEPT and _most_words(l, d) * most_near(l, d) <= BROADCAST_ROWS:
+        counts = automaton.read_counts(dealt(reads), l, d).groupBy("code").agg(F.sum("n").alias("n_reads"))
+    else:
+        counts = automaton.read_words(dealt(reads), l, d).groupBy("code").agg(F.count(F.lit(1)).alias("n_reads"))
     return counts.select(unpack(F.col("code"), F.lit(l)).alias("w"), "n_reads")
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from test_motifs import distance, frame
 
@@ -32,6 +33,38 @@ def test_reads_count_each_word_once(spark):
     assert found == {int(r.w.translate(str.maketrans("ACGT", "0123")), 4): r.n_reads for r in expected}
 
 
+@pytest.mark.parametrize("l,d", [(4, 2), (5, 1), (2, 2), (1, 1), (4, 0), (6, 1)])
+def test_kept_neighbours_count_each_read_once(l, d, monkeypatch):  # noqa: E741
+    """Words are walked once, however many reads hold them; chunks of all kinds, and empty reads."""
+    rng = random.Random(l + 10 * d)
+    seqs = ["".join(rng.choices("ACGT", k=n)) for n in (40, 9, 0, 2, 300, 1, 30, 30, 0)]
+    every = list(enumerate(map("".join, itertools.product("ACGT", repeat=l))))
+    words = [{s[i : i + k] for k in range(max(1, l - d), l + d + 1) for i in range(len(s) - k + 1)} for s in seqs]
+    known = {x: {c for c, u in every if distance(u, x) <= d} for x in set().union(*words)}
+    expected = [sum(any(c in known[x] for x in own) for own in words) for c, _ in every]
+    walked, near = [], automaton.near
+    monkeypatch.setattr(automaton, "near", lambda words, *a: walked.extend(words) or near(words, *a))
+    for expanded, pairs in ((1 << 21, 1 << 16), (100, 64)):
+        monkeypatch.setattr(automaton, "EXPANDED", expanded)
+        monkeypatch.setattr(automaton, "PAIRS", pairs)
+        kept, counts = automaton.Kept(l, d), np.zeros(4**l, np.int64)
+        for part in (seqs, seqs[:3], [], [""]):
+            kept.add(part, counts)
+        first = [sum(any(c in known[x] for x in own) for own in words[:3]) for c, _ in every]
+        assert counts.tolist() == [a + b for a, b in zip(expected, first)]
+        assert len(walked) == len(set(walked)) == len(known)
+        walked.clear()
+
+
+def test_read_counts_are_supports(spark):
+    rng = random.Random(9)
+    reads = frame(spark, ["".join(rng.choices("ACGT", k=n)) for n in (70, 30, 9, 2, 0)] * 20)
+    for l, d in ((8, 1), (4, 2)):  # noqa: E741
+        found = automaton.read_counts(reads, l, d).groupBy("code").sum("n").collect()
+        expected = bitmap.supports(reads, l, d).collect()
+        assert dict(map(tuple, found)) == {int(r.w.translate(str.maketrans("ACGT", "0123")), 4): r.n_reads for r in expected}
+
+
 def test_neighbourhood_of_odd_words(spark):
     words = spark.createDataFrame([("ACG",), (None,), ("",), ("A" * 40,)], "x string")
     assert {r.x for r in automaton.neighbourhood(words, 3, 1).collect()} == {"ACG"}
