@@ -37,15 +37,6 @@ def unpack(code: Column, length: Column) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), length, F.lit("0")), "0123", BASES)
 
 
-def pack_with_length(seq: Column) -> Column:
-    """As ``pack``, with a 1 before the first base: words of all lengths up to 31 are different numbers."""
-    return F.conv(F.concat(F.lit("1"), F.translate(seq, BASES, "0123")), 4, 10).cast("long")
-
-
-def unpack_with_length(code: Column) -> Column:
-    return F.translate(F.substring(F.conv(code.cast("string"), 10, 4), 2, 31), "0123", BASES)
-
-
 def two_bits(code: Column, place: Column) -> Column:
     """The 2 bits at a place counted from the last base."""
     return F.call_function("shiftrightunsigned", code, (2 * place).cast("int")).bitwiseAND(F.lit(3))
