@@ -14,6 +14,7 @@ from strandmill.functions.sequence import BASES, encoded, substrings, unpack
 from strandmill.operators import automaton
 
 LONGEST = 31  # bases that a BIGINT holds with their number
+TASK_BASES = 1 << 21  # bases of the reads whose words a task makes distinct
 BROADCAST_ROWS = 1 << 25  # pairs of a word and a neighbour that a worker may keep, 4 bytes each
 
 
@@ -64,6 +65,18 @@ def numbered(reads: DataFrame) -> DataFrame:
     return prepared(reads).withColumn("read", F.monotonically_increasing_id())
 
 
+def distinct_kmers(reads: DataFrame, l: int) -> DataFrame:  # noqa: E741
+    """(x): the distinct substrings of l bases.
+
+    Reads are dealt before they grow, as many tasks as keep each below about ``TASK_BASES`` bases: what a task makes
+    distinct before the shuffle is bounded, however few splits the source has and however many reads.
+    """
+    own = numbered(reads)
+    bases = own.agg(F.sum(F.length("seq"))).first()[0] or 0
+    n = max(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bases // TASK_BASES))
+    return own.repartition(n, "read").select(F.explode(substrings(F.col("seq"), l, l)).alias("x")).distinct()
+
+
 def dealt(reads: DataFrame) -> DataFrame:
     """Numbered reads by number: they will grow a hundredfold, so all tasks get some, and what is made of a read stays in its task."""
     return numbered(reads).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read")

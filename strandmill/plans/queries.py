@@ -85,7 +85,7 @@ def _exact(l, d, quorum, source, strategy="rows"):  # noqa: E741
 
 
 def _words12(spark, sf_dir):
-    return neighbours.kmers(key_reads(spark, sf_dir), 12).select("x").distinct()
+    return neighbours.distinct_kmers(key_reads(spark, sf_dir), 12)
 
 
 def pack_2bit(spark, sf_dir):
@@ -98,7 +98,7 @@ def unpack_2bit(spark, sf_dir):
 
 
 def wildcard_mask(spark, sf_dir):
-    patterns = _words12(spark, sf_dir).select(F.translate("x", "T", "*").alias("pattern")).distinct()
+    patterns = _words12(spark, sf_dir).select(F.translate("x", "T", "*").alias("pattern"))  # other words, other patterns
     return patterns.select("pattern", S.wildcard_mask(F.col("pattern")).alias("mask"))
 
 

@@ -177,3 +177,15 @@ def test_collapsed_queries_make_no_row_for_each_candidate(spark, tmp_path, monke
     expected = sorted(r.w for r in collapsed.fold(collapsed.candidates(reads, 5, 1), reads).collect())
     monkeypatch.setattr(collapsed, "candidates", None)
     assert sorted(r.motif for r in queries.ems2p_fold(spark, str(tmp_path)).collect()) == expected
+
+
+def test_words_are_made_distinct_in_bounded_tasks(spark, monkeypatch):
+    """Tasks follow the bases of the reads, however few splits they come in; null, empty and repeated reads."""
+    rng = random.Random(12)
+    seqs = ["".join(rng.choices("ACGT", k=32)) for _ in range(300)] * 2 + [None, "", "ACG", "ACGTNACGTACGT"]
+    reads = frame(spark, seqs).coalesce(1)
+    monkeypatch.setattr(neighbours, "TASK_BASES", 500)
+    found = neighbours.distinct_kmers(reads, 12)
+    whole = [s.replace("N", "A") for s in seqs if s]
+    assert sorted(r.x for r in found.collect()) == sorted({s[i : i + 12] for s in whole for i in range(len(s) - 11)})
+    assert ", 39)" in found._jdf.queryExecution().toString()  # 19,216 bases
