@@ -162,9 +162,22 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
+def _needed(sets: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The sets that stored pairs ask for on one side, so that no others are shuffled; all of them where too many are asked for."""
+    ids = pairs.select(F.col(side).alias("doc_id")).distinct()
+    return sets.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_ROWS else sets
+
+
 def _matches(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Stored pairs (a, b, ...) whose full sets have 100 * intersection >= percent * union; a hub's set meets its pairs in parts."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("fa")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("fb"))
+    """Stored pairs (a, b, ...) whose full sets have 100 * intersection >= percent * union; a hub's set meets its pairs in parts.
+
+    Sets of which one is too small to hold so much of the other are told by their sizes, before any set is moved.
+    """
+    columns = pairs.columns
+    for side in "ab":
+        pairs = common.spread_join(pairs, sets.select(F.col("doc_id").alias(side), F.col("n").alias("n" + side)), side, _sizes(pairs, side))
+    pairs = common.stored(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(columns), "sized")
+    left, right = (_needed(sets, pairs, side).select(F.col("doc_id").alias(side), F.col("found").alias("f" + side)) for side in "ab")
     met = common.spread_join(common.spread_join(pairs, left, "a", _sizes(pairs, "a")), right, "b", _sizes(pairs, "b"))
     met = met.withColumn("both", F.size(F.array_intersect("fa", "fb")))
     return met.where(100 * F.col("both") >= percent * (F.size("fa") + F.size("fb") - F.col("both"))).select(pairs.columns)
@@ -243,7 +256,8 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 8
     ids = common.stored(shared.select("doc_id").distinct(), "candidates")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    sets = common.stored(_one_set(full_sets(docs.join(ids, "doc_id", "left_semi"), width), reps), "sets")
+    sets = _one_set(full_sets(docs.join(ids, "doc_id", "left_semi"), width), reps)
+    sets = common.stored(sets.withColumn("n", F.size("found").cast("long")), "sets")
 
     large = shared.where(F.col("rows") > SMALL)
     central = large.groupBy("doc_id").agg(F.sum("rows").alias("weight"))

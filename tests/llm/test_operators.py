@@ -294,3 +294,13 @@ def test_tokens_match_the_tokenizer():
         ids = whole.encode(text, add_special_tokens=False).ids
         assert tokens.encoder()(text) == b"".join(i.to_bytes(4, "little") for i in ids)
     assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def test_matches_move_only_sets_that_can_match(spark):
+    """Pairs that their sizes rule out go before any set is moved, and sets of no pair stay where they are."""
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(95))), (3, list(range(10))), (4, list(range(50, 150))), (5, list(range(100)))], "doc_id long, found array<long>")
+    sets = sets.withColumn("n", F.size("found").cast("long"))
+    pairs = spark.createDataFrame([(1, 2, 7), (1, 3, 8), (1, 4, 9)], "a long, b long, la long")
+    found = neardup._matches(pairs, sets, 85)
+    assert found.columns == ["a", "b", "la"] and [tuple(r) for r in found.collect()] == [(1, 2, 7)]
+    assert {r.doc_id for r in neardup._needed(sets, pairs, "b").collect()} == {2, 3, 4}
