@@ -13,8 +13,9 @@ Groups of copies may be large, so no bucket is expanded into all pairs:
    largest buckets. Confirmed links are joined into components.
 3. Families around the threshold stay in many components then. In rounds, members outside the largest component of a
    bucket are compared with ``SEATS`` of its members, and confirmed links join components. A round's pairs are linear in the
-   rows; as fewer members are left outside, each meets more seats. Rounds end when the members left outside could meet
-   all others of their buckets within the same budget, or when a round joins less than a twentieth of the components.
+   rows; as fewer members are left outside, each meets more seats. Rounds end when the exact join, where it is cheap to tell (``LOOKS``), leaves no more
+   pairs to compare than the next round, when the members left outside could meet all others of their buckets within the same budget, or when a round joins less
+   than a twentieth of the components.
 4. Members of buckets over ``SMALL`` rows that still hold several components are joined with each other by prefix:
    shingles in order of rarity, of which two sets at the threshold must share one near their beginnings. Length and
    position bounds are exact, so no link among these members is lost, and what copies have in common comes late in
@@ -52,6 +53,7 @@ WIDTH, PERMS, ROWS, SMALL, SEED = 5, 84, 6, 16, 31
 VALUES = 2 * PERMS
 BANDS = VALUES // ROWS
 SEATS, MOST_SEATS, GAIN = 16, 1024, 0.95
+LOOKS = 256  # shared prefix shingles for each row in large buckets, up to which a round tells how many pairs the exact join leaves
 BROADCAST_ROWS = 1 << 20
 SLICE = 512  # texts that a task holds as Python values at once
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,7 +82,7 @@ def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, print, sig) for rows (doc_id, text): set size, 128 bits of the set, signature."""
+    """(doc_id, n, print, keys) for rows (doc_id, text): set size, 128 bits of the set, the bucket key of each band (of an empty set none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,10 +90,13 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for s in _sets(b.column(1), width):
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "print", "sig"])
+                if len(s):
+                    sigs.append(signature(s))
+            keys = pa.array(_band_keys(np.array(sigs, np.uint32).reshape(-1, VALUES)).ravel().view(np.int64))
+            ends = np.cumsum([0, *(BANDS * (k > 0) for k in n)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), keys)], names=["doc_id", "n", "print", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -113,26 +118,18 @@ def _fold(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return key
 
 
-def _keys_batch(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], names=["bucket", "doc_id"])
-
-
-def _signature_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), VALUES)
+def _band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A bucket key for each band of each signature."""
+    keys = np.empty((len(sigs), BANDS), np.uint64)
+    for band in range(BANDS):
+        start = np.full(len(sigs), band, np.uint64)
+        keys[:, band] = _fold(sigs[:, band * ROWS : (band + 1) * ROWS], mix(start + np.uint64(1)))
+    return keys
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """(bucket, doc_id): a row for each band of each (doc_id, sig)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                sig, ids = _signature_rows(b.column(1)), b.column(0).to_numpy()
-                for band in range(BANDS):
-                    start = np.full(len(ids), band, np.uint64)
-                    yield _keys_batch(_fold(sig[:, band * ROWS : (band + 1) * ROWS], mix(start + np.uint64(1))), ids)
-
-    return reps.select("doc_id", "sig").mapInArrow(run, "bucket long, doc_id long")
+    """(bucket, doc_id): a row for each band of each (doc_id, keys)."""
+    return reps.select(F.explode("keys").alias("bucket"), "doc_id")
 
 
 def _sizes(rows: DataFrame, key: str) -> DataFrame:
@@ -190,19 +187,31 @@ def _one_set(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
 
 
-def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (doc_id, label) of different labels that prefix, length and position let through."""
-    own = common.stored(sets.join(members, "doc_id").select("doc_id", "label", F.size("found").alias("n"), F.explode("found").alias("token")), "tokens")
+def _prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, token, at): the beginnings of the sets of ``ids`` in order of rarity, without shingles that one of them has alone.
+
+    Two sets at the threshold share a shingle of their beginnings, also where only some of ``ids`` are compared.
+    """
+    own = common.stored(sets.join(ids, "doc_id").select("doc_id", F.size("found").alias("n"), F.explode("found").alias("token")), "tokens")
     rarity = common.stored(own.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
     # Shingles of one document only come first in the order; they meet nothing, so only their number counts.
-    ranked = common.spread_join(own, rarity, "token", rarity.withColumnRenamed("df", "n")).groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = common.spread_join(own, rarity, "token", rarity.withColumnRenamed("df", "n")).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
     alone = F.col("n") - F.size("order")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    ranked = ranked.select("doc_id", "label", "n", alone.alias("alone"), F.slice("order", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("order"))
-    rows = common.stored(ranked.select("doc_id", "label", "n", "alone", F.posexplode("order").alias("at", "o")).select("doc_id", "label", "n", F.col("o.token").alias("token"), (F.col("alone") + F.col("at")).alias("at")), "prefixes")
+    ranked = ranked.select("doc_id", "n", alone.alias("alone"), F.slice("order", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("order"))
+    rows = ranked.select("doc_id", "n", "alone", F.posexplode("order").alias("at", "o")).select("doc_id", "n", F.col("o.token").alias("token"), (F.col("alone") + F.col("at")).alias("at"))
+    return common.stored(rows, "prefixes")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(token, labels, most, n) of the shingles that rows of several labels begin with: their number, the largest of them, the rows."""
     shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
-    most = shares.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label")).alias("most"), F.sum("rows").alias("n")).where("labels > 1")
-    most = common.stored(most, "most")
+    most = shares.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label")).alias("most"), F.sum("rows").alias("n"))
+    return most.where("labels > 1")
+
+
+def _by_prefix(rows: DataFrame, most: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that prefix, length and position let through; ``rows`` are labelled prefixes, ``most`` is their ``_mixed``."""
     rows = common.stored(common.spread_join(rows, most.select("token", F.col("most.label").alias("main")), "token", most), "mixed")
     few = rows.where("label <> main").select("token", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
     every = rows.select("token", "main", F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("at").alias("iy"))
@@ -211,12 +220,12 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.spread_join(every, few, "token", most).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Confirmed links that join components of the buckets ``large`` (bucket, doc_id, rows), and the labels they lead to.
+def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
+    """Confirmed links that join components of the buckets ``large`` (bucket, doc_id, rows), the labels they lead to, and candidates (a, b) of the exact join under these.
 
     Pairs that no round compares are left to the exact join, so a round decides how much work is left, not the result.
     """
-    found, budget, last = [], None, None
+    found, prefixes, budget, last = [], None, None, None
     for turn in itertools.count():
         rows = common.stored(_labelled(large, labels), "labelled")
         shares = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -226,8 +235,15 @@ def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, set
         apart = F.col("label") != F.col("main")
         total, outside, work, parts = rows.agg(F.count(F.lit(1)), F.count_if(apart), F.sum(F.when(apart, F.col("rows"))), F.count_distinct("label")).first()
         budget = SEATS * total if budget is None else budget
-        if not outside or work <= budget or (last is not None and parts > GAIN * last):
-            return found, labels
+        if not outside:
+            return found, labels, None
+        members = rows.select("doc_id", "label").distinct()
+        if prefixes is None:
+            prefixes = _prefixes(members.select("doc_id"), sets, percent)
+        begun = common.stored(prefixes.join(members, "doc_id"), "begun")
+        most = common.stored(_mixed(begun), "most")
+        if work <= budget or (last is not None and parts > GAIN * last):
+            return found, labels, _by_prefix(begun, most, percent)
         last, seats = parts, max(SEATS, min(MOST_SEATS, budget // outside))
         drawn = F.xxhash64("doc_id", F.lit(turn))
         chosen = rows.groupBy("bucket", F.pmod(drawn, F.lit(seats)).alias("seat")).agg(F.min(F.struct(drawn.alias("drawn"), "doc_id", "label")).alias("s"))
@@ -236,11 +252,17 @@ def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, set
         asks = common.stored(others.groupBy(F.col("doc_id").alias("x"), F.col("label").alias("lx")).agg(one), "asks")
         met = common.spread_join(asks, chosen, "bucket", _sizes(asks, "bucket")).where("lx <> ly")
         met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb")).distinct()
+        met = common.stored(met, "met")
+        looks = most.agg(F.sum((F.col("n") - F.col("most.rows")).cast("double") * F.col("n"))).first()[0] or 0
+        if looks <= LOOKS * total:
+            exact = common.stored(_by_prefix(begun, most, percent).distinct(), "exact")
+            if exact.count() <= met.count():
+                return found, labels, exact
         # Of the links between two components one is enough.
-        near = _matches(common.stored(met, "met"), sets, percent).groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("link"))
+        near = _matches(met, sets, percent).groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("link"))
         near = common.stored(near.select("la", "lb", "link.a", "link.b"), "near")
         if near.isEmpty():
-            return found, labels
+            return found, labels, _by_prefix(begun, most, percent)
         found.append(near.select("a", "b"))
         tops = components(near.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("doc_id").alias("label"), F.col("label").alias("top"))
         own = common.stored(_labelled(large.select("doc_id").distinct(), labels), "own")
@@ -248,8 +270,8 @@ def _in_rounds(large: DataFrame, sizes: DataFrame, labels: DataFrame | None, set
 
 
 def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
-    """Confirmed links (a, b) that join all linked representatives (doc_id, n, sig); ``docs`` is (doc_id, text)."""
-    keys = common.stored(band_keys(reps), "keys")
+    """Confirmed links (a, b) that join all linked representatives (doc_id, n, keys); ``docs`` is (doc_id, text)."""
+    keys = band_keys(reps)
     counts = common.stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
     sizes = counts.withColumnRenamed("rows", "n")
     shared = common.stored(common.spread_join(keys, counts, "bucket", sizes), "shared")
@@ -266,7 +288,7 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 8
     stars = common.spread_join(large, hubs, "bucket", sizes).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     found = common.stored(_matches(common.stored(stars, "rays"), sets, percent), "stars")
     labels = None if found.isEmpty() else components(found)
-    more, labels = _in_rounds(large, sizes, labels, sets, percent)
+    more, labels, exact = _in_rounds(large, sizes, labels, sets, percent)
     found = functools.reduce(DataFrame.unionByName, more, found)
 
     rows = common.stored(_labelled(shared, labels), "labelled")
@@ -279,7 +301,9 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = 8
     left, right = (small.select("bucket", F.col("doc_id").alias(k), F.col("label").alias("l" + k), F.col("n").alias("n" + k), F.col("inner").alias("i" + k)) for k in "ab")
     close = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & ~(F.col("ia") & F.col("ib")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = left.join(right, "bucket").where(close).select("a", "b")
-    pairs = common.stored(pairs.unionByName(_by_prefix(members, sets, percent)).distinct(), "pairs")
+    if exact is not None:
+        pairs = pairs.unionByName(exact)
+    pairs = common.stored(pairs.distinct(), "pairs")
     return found.unionByName(common.stored(_matches(pairs, sets, percent), "confirmed"))
 
 
@@ -292,8 +316,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = groups.select("print", F.col("rows").alias("n"))
     members = common.spread_join(sigs.select("doc_id", F.col("n").alias("n_own"), "print"), groups.select("print", "rep"), "print", copies, "left")
     members = common.stored(members.select("doc_id", F.col("n_own").alias("n"), F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = common.spread_join(named.where("n > 0").withColumnRenamed("n", "n_own"), groups.select("print", "rep"), "print", copies, "left").where("rep IS NULL OR rep = doc_id")
-    reps = common.stored(reps.select("doc_id", F.col("n_own").alias("n"), "sig").dropDuplicates(["doc_id", "n", "sig"]), "representatives")
+    reps = common.spread_join(named.where("n > 0").withColumnRenamed("n", "n_own"), groups.select("print", "rep"), "print", copies, "left")
+    reps = common.stored(reps.where("rep IS NULL OR rep = doc_id").select("doc_id", F.col("n_own").alias("n"), "rep", "keys"), "representatives")
+    # A print without a group has one row, so only rows of groups may repeat.
+    again = common.stored(reps.where("rep IS NOT NULL").drop("rep").dropDuplicates(["doc_id", "n", "keys"]), "firsts")
+    reps = reps.where("rep IS NULL").drop("rep").unionByName(again)
     # One id with several texts: its sets are one document, so its representatives are linked too.
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = same.join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")

@@ -93,6 +93,31 @@ def test_near_duplicates_of_a_family_around_the_threshold(spark, monkeypatch):
     assert len(compared) > 3 and sum(compared) < n * (n - 1) // 2
 
 
+def test_near_duplicates_of_a_family_far_under_the_threshold(spark, monkeypatch):
+    """Large buckets of texts that share most words and link with none: where prefixes tell it, no round compares them pair by pair."""
+    rng, n = random.Random(7), 300
+    base, rows = words(rng, 200), []
+    for i in range(n):
+        rows.append((i, " ".join([*base, *(f"own{i}x{k}" for k in range(50))])))
+    compared, real = [], neardup._matches
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(neardup, "_matches", counted)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.component_id == r.doc_id) for r in found.collect()} == brute.near(rows)
+    assert len(compared) == 2 and sum(compared) < 10 * n
+
+
+def test_near_duplicates_move_no_signatures(spark):
+    """A row carries a key for each band, not its signature, and equal sets the same keys."""
+    rows = neardup.signatures(spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (4, None), (5, "x")], "doc_id long, text string")).collect()
+    keys = {r.doc_id: r["keys"] for r in rows}
+    assert len(keys[1]) == neardup.BANDS and keys[1] == keys[2] != keys[5] and keys[3] == keys[4] == []
+
+
 def test_near_duplicates_defined_cases(empty, odd):
     assert neardup.near_duplicates(empty).count() == 0
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in neardup.near_duplicates(odd).collect()) == [(-1, 0, -1), (1, 1, 1), (1, 1, 1), (1, 1, 1)]
