@@ -25,6 +25,8 @@ PAIRS = 1 << 16  # pairs that advance at once
 TOGETHER = 2048  # bases of reads that are walked together
 LOOKED_UP = 1 << 16  # bases of reads whose words are looked up together
 EXPANDED = 1 << 21  # neighbours of them that are held at once
+CELLS = 1 << 21  # cells of reads and words that are marked at once; they stay in a core's cache
+CELLS_EACH = 64  # cells for each neighbour up to which marking is cheaper than sorting
 LONGEST_KEPT = 9  # bases of words whose neighbours are kept; there are 4 to the power of this of the longest
 _ONE = np.uint64(1)
 
@@ -43,9 +45,13 @@ def _useful(l: int, d: int) -> np.ndarray:  # noqa: E741
 def near(words: list[str], l: int, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: E741
     """(places in ``words``, codes of l bases within d edits of those); words have 1 to 62 bases."""
     size = np.array([len(w) for w in words], np.int64)
+    said, ends = np.frombuffer("".join(words).encode("ascii", "replace"), np.uint8), np.cumsum(size)
+    bits = _ONE << (np.arange(1, len(said) + 1) - np.repeat(ends - size, size)).astype(np.uint64)
+    sums = np.zeros(len(said) + 1, np.uint64)
     masks = np.zeros((4, len(words)), np.uint64)
-    for base, letter in enumerate(BASES):
-        masks[base] = [sum(2 << i for i, c in enumerate(w) if c == letter) for w in words]
+    for base, letter in enumerate(BASES.encode()):
+        np.cumsum(np.where(said == letter, bits, 0), out=sums[1:])  # whatever overflows cancels out
+        masks[base] = sums[ends] - sums[ends - size]
     useful = _useful(l, d)
     size = np.minimum(size, useful.shape[2] - 1)  # longer words have no neighbours
     start = np.array([(2 << e) - 1 for e in range(d + 1)], np.uint64)[:, None] & useful[0][:, size]
@@ -89,67 +95,83 @@ def neighbourhood(words: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
 
 
 class Kept:
-    """Neighbours of words by their packed numbers (with a 1 before the first base), walked when a word is first met."""
+    """Neighbours of words by their packed numbers (with a 1 before the first base), walked when a word is first met.
+
+    Words of a length have rows of one width, the most neighbours that one of them has; shorter rows say their first neighbour again.
+    """
 
     def __init__(self, l: int, d: int):  # noqa: E741
         self.l, self.d = l, d
-        self.start, self.count = np.full(2 * 4 ** (l + d), -1, np.int64), np.zeros(2 * 4 ** (l + d), np.int64)
-        self.codes, self.size = np.empty(1 << 16, np.int32), 0
+        self.lengths = range(max(1, l - d), l + d + 1)
+        self.known = np.zeros(2 * 4 ** (l + d), bool)
+        self.rows = {k: np.empty((4**k, 0), np.int32) for k in self.lengths}
 
     def meet(self, words: np.ndarray) -> None:
-        new = np.unique(words[self.start[words] < 0])
-        for k in range(max(1, self.l - self.d), self.l + self.d + 1):
-            own = new[(new >= 4**k) & (new < 2 * 4**k)]
+        new = _distinct(words[~self.known[words]])
+        for k, own in self._by_length(new):
             for s in range(0, len(own), PAIRS >> 4):
-                self._walk(own[s : s + (PAIRS >> 4)], k)
+                self._walk(new[own[s : s + (PAIRS >> 4)]], k)
+        self.known[new] = True
+
+    def _by_length(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, places of the words of that length)"""
+        for k in self.lengths:
+            yield k, np.flatnonzero((words >= 4**k) & (words < 2 * 4**k))
 
     def _walk(self, words: np.ndarray, k: int) -> None:
         said = np.frombuffer(BASES.encode(), np.uint8)[(words[:, None] >> 2 * np.arange(k - 1, -1, -1)) & 3]
         found = list(near([bytes(w).decode() for w in said], self.l, self.d))
-        at, codes = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(2))
+        at, codes = (np.concatenate([f[i] for f in found]) for i in range(2))
         count = np.bincount(at, minlength=len(words))
-        while self.size + len(codes) > len(self.codes):
-            self.codes = np.concatenate((self.codes, np.empty_like(self.codes)))
-        self.codes[self.size : self.size + len(codes)] = codes[np.argsort(at, kind="stable")]
-        self.start[words], self.count[words] = self.size + np.cumsum(count) - count, count
-        self.size += len(codes)
-
-    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(neighbours of all words one after the other, how many each word has)"""
-        count = self.count[words]
-        ends = np.cumsum(count)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[words] - ends + count, count)
-        return self.codes[places], count
+        ends, rows = np.cumsum(count), self.rows[k]
+        if (more := int(count.max()) - rows.shape[1]) > 0:
+            rows = self.rows[k] = np.concatenate((rows, np.repeat(rows[:, :1], more, 1) if rows.shape[1] else np.zeros((len(rows), more), np.int32)), 1)
+        places = np.arange(rows.shape[1])
+        places = np.where(places < count[:, None], places, 0) + (ends - count)[:, None]
+        rows[words - 4**k] = codes[np.argsort(at, kind="stable")][places]
 
     def add(self, seqs: list[str], counts: np.ndarray) -> None:
         """Add to the counts of all words how many of the reads each is near."""
         owner, words = _own_words(seqs, self.l, self.d)
         self.meet(words)
-        before = np.cumsum(self.count[words]) - self.count[words]
+        size = np.zeros(len(words), np.int64)
+        for k, own in self._by_length(words):
+            size[own] = self.rows[k].shape[1]
+        before = np.cumsum(size) - size
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        parts, ends = before[starts] // EXPANDED, np.append(starts[1:], len(words))
+        ends = np.append(starts[1:], len(words))
+        own = np.repeat(np.arange(len(starts)), ends - starts)
+        marked = len(starts) * len(counts) <= CELLS_EACH * size.sum()
+        parts = np.arange(len(starts)) // max(1, min(255, CELLS // len(counts))) if marked else before[starts] // EXPANDED
         for first in np.flatnonzero(np.diff(parts, prepend=-1)):
             last = np.searchsorted(parts, parts[first], "right") - 1
-            self._count(owner[starts[first] : ends[last]] - owner[starts[first]], words[starts[first] : ends[last]], counts)
-
-    def _count(self, owner: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
-        if owner[-1] == 0:  # one read, however long
-            seen = np.zeros(len(counts), bool)
-            for s in range(0, len(words), PAIRS >> 2):
-                seen[self.near(words[s : s + (PAIRS >> 2)])[0]] = True
-            counts += seen
-            return
-        codes, count = self.near(words)
-        keys = np.repeat(owner * len(counts), count) + codes
-        cells = (int(owner[-1]) + 1) * len(counts)
-        if cells <= 4 * len(keys):
-            seen = np.zeros(cells, bool)
-            seen[keys] = True
-            counts += seen.reshape(-1, len(counts)).sum(0)
-        elif len(keys):
-            keys = np.sort(keys.astype(np.uint32) if cells < 1 << 32 else keys)
-            kept = np.append(True, keys[1:] != keys[:-1])
-            counts += np.bincount((keys[kept] & (len(counts) - 1)).astype(np.int64), minlength=len(counts))
+            some = slice(starts[first], ends[last])
+            (self._mark if marked or first == last else self._sort)(own[some] - first, words[some], counts)
+
+    def _mark(self, owner: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
+        """Of up to 255 reads, by a cell for each read and word."""
+        seen = np.zeros((int(owner[-1]) + 1) * len(counts), bool)
+        for k, own in self._by_length(words):
+            for s in range(0, len(own), PAIRS >> 2):
+                seen[self._keys(owner, words, own[s : s + (PAIRS >> 2)], k, len(counts))] = True
+        counts += seen.view(np.uint8).reshape(-1, len(counts)).sum(0, dtype=np.uint8)
+
+    def _keys(self, owner: np.ndarray, words: np.ndarray, own: np.ndarray, k: int, n: int) -> np.ndarray:
+        """A number below n for each read and neighbour, after those of the reads before it."""
+        keys = self.rows[k].take(words[own] - 4**k, 0).astype(np.int64)
+        keys += (owner[own] * n)[:, None]
+        return keys.ravel()
+
+    def _sort(self, owner: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
+        """Of reads that are near few words each."""
+        keys = _distinct(np.concatenate([self._keys(owner, words, own, k, len(counts)) for k, own in self._by_length(words)]))
+        counts += np.bincount(keys & (len(counts) - 1), minlength=len(counts))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """In order; plain sorting is several times faster here than ``np.unique``, which hashes."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
 def _own_words(seqs: list[str], l: int, d: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
@@ -163,7 +185,7 @@ def _own_words(seqs: list[str], l: int, d: int) -> tuple[np.ndarray, np.ndarray]
         if k >= l - d:
             inside = left[: len(packed)] >= k
             keys.append((reads[: len(packed)][inside] << 2 * (l + d) + 1) + packed[inside])
-    found = np.unique(np.concatenate(keys))
+    found = _distinct(np.concatenate(keys))
     return found >> 2 * (l + d) + 1, found & ((1 << 2 * (l + d) + 1) - 1)
 
 

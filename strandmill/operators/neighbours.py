@@ -82,6 +82,12 @@ def dealt(reads: DataFrame) -> DataFrame:
     return numbered(reads).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read")
 
 
+def spread(rows: DataFrame, tasks: int = 0) -> DataFrame:
+    """Rows that will grow, over all tasks, unless they are in that many ``tasks`` already; Spark deals the same rows the same way when a task runs again."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows if tasks >= n else rows.repartition(n)
+
+
 def own_words(numbered: DataFrame, l: int, d: int = 0) -> DataFrame:  # noqa: E741
     """(read, x): the distinct substrings of each read; they are made distinct where the read stands, without a shuffle."""
     return numbered.select("read", F.explode(F.array_distinct(substrings(F.col("seq"), l - d, l + d))).alias("x"))
@@ -92,21 +98,22 @@ def prepared(reads: DataFrame) -> DataFrame:
     return reads.select(encoded(F.coalesce("seq", F.lit(""))).alias("seq"))
 
 
-def supports(reads: DataFrame, l: int, d: int) -> DataFrame:  # noqa: E741
+def supports(reads: DataFrame, l: int, d: int, tasks: int = 0) -> DataFrame:  # noqa: E741
     """(w, n_reads): in how many reads each word of length l has a substring within d edits.
 
-    Reads are dealt by number before they grow, so whatever is made distinct for a read needs no shuffle; only counts by
-    word are shuffled, added up before. Where all words there can be and their neighbourhoods are few (short words, that
-    many reads share), a worker keeps the neighbours of the words it has met; otherwise each read's words are walked in place.
+    Reads are dealt before they grow, unless they are known to be in enough ``tasks``, so whatever is made distinct for a
+    read needs no shuffle; only counts by word are shuffled, added up before. Where all words there can be and their
+    neighbourhoods are few (short words, that many reads share), a worker keeps the neighbours of the words it has met;
+    otherwise each read's words are walked in place.
     """
     if l + d > LONGEST:
         own = own_words(dealt(reads), l, d)
         near = neighbourhood(own.select("x").distinct(), l, d)
         return own.join(near, "x").select("read", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n_reads"))
     if l + d <= automaton.LONGEST_KEPT and _most_words(l, d) * most_near(l, d) <= BROADCAST_ROWS:
-        counts = automaton.read_counts(dealt(reads), l, d).groupBy("code").agg(F.sum("n").alias("n_reads"))
+        counts = automaton.read_counts(spread(prepared(reads), tasks), l, d).groupBy("code").agg(F.sum("n").alias("n_reads"))
     else:
-        counts = automaton.read_words(dealt(reads), l, d).groupBy("code").agg(F.count(F.lit(1)).alias("n_reads"))
+        counts = automaton.read_words(spread(prepared(reads), tasks), l, d).groupBy("code").agg(F.count(F.lit(1)).alias("n_reads"))
     return counts.select(unpack(F.col("code"), F.lit(l)).alias("w"), "n_reads")
 
 

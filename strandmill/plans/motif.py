@@ -57,12 +57,12 @@ class MotifQuery:
 
     def run(self, reads: DataFrame, consensus: str = "") -> DataFrame:
         """(motif, n_reads, distance) for reads (sid, seq)."""
-        size = walk.measured(reads)
+        size = walk.measured(reads, self.strategy != "rows")
         bases = size.bases / max(1, size.reads)
         if self.by_walk(bases):
             return self._kept(walk.frontier(reads, self.l, self.d, self.least(size.reads), size), size.reads, consensus)
         if not self.by_bitmap(bases):
-            return self._kept(neighbours.supports(reads, self.l, self.d), size.reads, consensus)
+            return self._kept(neighbours.supports(reads, self.l, self.d, size.tasks), size.reads, consensus)
         cores = reads.sparkSession.sparkContext.defaultParallelism
         if size.tasks < cores:  # a small source in few splits; larger ones stay where they are
             reads = reads.select("seq").repartition(cores)

@@ -56,6 +56,27 @@ def test_kept_neighbours_count_each_read_once(l, d, monkeypatch):  # noqa: E741
         walked.clear()
 
 
+@pytest.mark.parametrize("l,d", [(8, 1), (5, 1), (3, 2), (4, 0)])
+def test_marked_and_sorted_neighbours_count_the_same(l, d, monkeypatch):  # noqa: E741
+    """Over 255 reads with the same words, reads without words among them, in blocks of all sizes."""
+    rng = random.Random(l)
+    some = ["".join(rng.choices("ACGT", k=n)) for n in (32, 12, 0, l, 60)]
+    seqs = some * 120
+    words = [{s[i : i + k] for k in range(max(1, l - d), l + d + 1) for i in range(len(s) - k + 1)} for s in some]
+    expected = np.zeros(4**l, np.int64)
+    for own in words:
+        if codes := [c for _, c in automaton.near(sorted(own), l, d)]:
+            expected[np.unique(np.concatenate(codes))] += 120
+    kept = automaton.Kept(l, d)
+    for cells, each, expanded in ((1 << 21, 1 << 30, 1 << 21), (1 << 21, 0, 1 << 21), (1, 1 << 30, 1 << 21), (4**l * 7, 1 << 30, 100), (1, 0, 5000)):
+        monkeypatch.setattr(automaton, "CELLS", cells)
+        monkeypatch.setattr(automaton, "CELLS_EACH", each)
+        monkeypatch.setattr(automaton, "EXPANDED", expanded)
+        counts = np.zeros(4**l, np.int64)
+        kept.add(seqs, counts)
+        assert counts.tolist() == expected.tolist()
+
+
 def test_read_counts_are_supports(spark):
     rng = random.Random(9)
     reads = frame(spark, ["".join(rng.choices("ACGT", k=n)) for n in (70, 30, 9, 2, 0)] * 20)
